@@ -97,12 +97,15 @@ def measured(df: DataFrame, text: str = "text") -> DataFrame:
     at = F.col("__at")
     covered = F.transform(at, lambda p, i: F.least(F.lit(3), F.coalesce(F.get(at, i + 1) - p, F.lit(3))))
     total = F.aggregate(covered, F.lit(0).cast("long"), lambda a, x: a + x)
-    return df.select(*[c for c in df.columns if c != "__at"], F.coalesce(total, F.lit(0)).cast("long").alias("__n_repeat_words"))
+    # A column that isn't deterministic keeps later filters above this projection; below it
+    # they would hold all of these expressions within each other.
+    hold = F.monotonically_increasing_id().alias("__hold")
+    return df.select(*[c for c in df.columns if c != "__at"], F.coalesce(total, F.lit(0)).cast("long").alias("__n_repeat_words"), hold)
 
 
 def verdict(rules: tuple[Rule, ...] = RULES) -> tuple[Column, Column]:
     """(base_failed, kept) over the columns of ``measured``."""
-    base = (F.col("__n_words") < 50) | (F.col("__n_repeat_words") * 100 > F.col("__n_words") * 50)
+    base = (F.col("__n_words") < 50) | (F.col("__n_repeat_words") * 100 > F.col("__n_words") * 50) | (F.col("__hold") < 0)
     failed = base
     for rule in rules:
         failed = failed | rule.failed()
