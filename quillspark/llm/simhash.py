@@ -62,15 +62,16 @@ def _signed(x: int) -> int:
 
 
 def fingerprints(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, fp): one row for each row."""
+    """(doc_id, tag, fp): one row for each row; the tag is a hash of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = [_signed(fingerprint(t or b"")) for t in b.column(1).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64())], names=["doc_id", "fp"])
+            fps = [_signed(fingerprint(t or b"")) for t in b.column(2).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps, pa.int64())], names=["doc_id", "tag", "fp"])
 
     kind = df.schema[doc_id].dataType.simpleString()
-    return df.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, fp long")
+    t = F.col(text).cast("string")
+    return df.select(F.col(doc_id).alias("doc_id"), F.xxhash64(t).alias("tag"), t.alias("text")).mapInArrow(run, f"doc_id {kind}, tag long, fp long")
 
 
 def flips(bits: list[int], most: int) -> np.ndarray:
@@ -186,14 +187,14 @@ def links(distinct: DataFrame, n: int) -> DataFrame:
 
 
 def link(fps: DataFrame) -> DataFrame:
-    """From (doc_id, fp) to (doc_id, fp, component_id)."""
+    """``fps`` (doc_id, fp and more) with root, the component's fingerprint, and component_id."""
     distinct = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
     found = components(links(distinct, distinct.count()))
     named = distinct.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     named = cut(named)
     names = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = cut(named.join(names, "root").select("fp", "component_id"))
-    return fps.join(of, "fp", "left").select("doc_id", "fp", "component_id")
+    of = cut(named.join(names, "root").select("fp", "root", "component_id"))
+    return fps.join(of, "fp", "left")
 
 
 def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -203,19 +204,19 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -
 
 
 def deduplicate(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``df`` that name their component. Of rows that share that doc_id and
-    fingerprint, and of components whose doc_ids are all null, one row stays."""
-    fps = cut(fingerprints(df, doc_id, text))
-    ids = link(fps)
-    one = ids.groupBy("component_id").count().where("component_id is null or count > 1")
-    kept = ids.where("doc_id = component_id").groupBy("doc_id").count()
-    plain = df.join(kept.where("count = 1").select(F.col("doc_id").alias("__id")), F.col(doc_id) == F.col("__id")).drop("__id")
-    if kept.where("count > 1").isEmpty() and one.where("component_id is null").isEmpty():
-        return plain
-    # Ids that repeat: one row of each, chosen by its text.
-    several = kept.where("count > 1").select(F.col("doc_id").alias("__id"))
-    columns = df.columns
-    rows = df.join(several, F.col(doc_id).eqNullSafe(F.col("__id"))).select("__id", F.struct(*[F.col(f"`{c}`") for c in columns]).alias("__row"))
-    first = rows.groupBy("__id").agg(F.min_by("__row", F.xxhash64(F.col(f"__row.`{text}`"))).alias("__row")).select("__row.*")
-    nameless = df.where(F.col(doc_id).isNull()).limit(1) if not one.where("component_id is null").isEmpty() else df.limit(0)
-    return plain.unionByName(first).unionByName(nameless)
+    """Of each component one row, as it was: the smallest doc_id's (nulls last). Where that
+    doc_id repeats in the component, the row with the smallest hash of its text stays; of
+    rows with the same id and text any one, all but extra columns being equal."""
+    ids = cut(link(cut(fingerprints(df, doc_id, text))).select("doc_id", "tag", "root"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "tag"))
+    kept = ids.groupBy("root").agg(first.alias("first")).select(F.col("first.doc_id").alias("id"), F.col("first.tag").alias("tag"))
+    times = ids.groupBy("doc_id", "tag").count().select(F.col("doc_id").alias("d"), F.col("tag").alias("t"), "count")
+    kept = cut(kept.join(times, F.col("id").eqNullSafe(F.col("d")) & (F.col("tag") == F.col("t"))).select("id", "tag", "count"))
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(doc_id).alias("d"), F.xxhash64(F.col(text).cast("string")).alias("t"))
+    on = F.col("d").eqNullSafe(F.col("id")) & (F.col("t") == F.col("tag"))
+    out = rows.join(kept.where("count = 1"), on).select("row")
+    several = kept.where("count > 1")
+    if not several.isEmpty():
+        # Rows that are the same in id and text: partial aggregates keep one of each.
+        out = out.unionByName(rows.join(several, on).groupBy("d", "t").agg(F.first("row").alias("row")).select("row"))
+    return out.select("row.*")
