@@ -38,15 +38,15 @@ def debounced(events: DataFrame, path: str = "user_id", seconds: float = 2.0) ->
 def apply_once(stream: DataFrame, ledger: str, apply: Callable[[DataFrame], None], checkpoint: str, key: str = "event_id"):
     """Runs ``apply`` on the events of each micro-batch that the ledger doesn't have yet.
 
-    The ledger has a folder for each batch and is written after ``apply``, so a batch that
-    is repeated after a failure applies only what isn't committed; ``apply`` itself has to
-    be safe to repeat."""
+    The ledger is a table that only grows; a batch's events are added after ``apply``. A
+    batch that is repeated after a failure applies only what isn't committed; ``apply``
+    itself has to be safe to repeat."""
 
     def batch(df: DataFrame, number: int) -> None:
         spark = df.sparkSession
         once = df.dropDuplicates([key])
         try:
-            done = spark.read.parquet(f"{ledger}/*")
+            done = spark.read.parquet(ledger)
             once = once.join(done.select(key), key, "left_anti")
         except Exception as e:
             if "PATH_NOT_FOUND" not in str(e):
@@ -54,7 +54,7 @@ def apply_once(stream: DataFrame, ledger: str, apply: Callable[[DataFrame], None
         once = once.persist()
         try:
             apply(once)
-            once.select(key).write.mode("overwrite").parquet(f"{ledger}/batch={number}")
+            once.select(key).write.mode("append").parquet(ledger)
         finally:
             once.unpersist()
 
