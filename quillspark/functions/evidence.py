@@ -24,10 +24,10 @@ def yes_no(observed: Column, target: Column) -> Column:
 
 
 def verdict(supported: Column, claimed: Column) -> Column:
-    """yes needs every slot supported; an unknown slot, or a yes without support, abstains."""
+    """yes needs every slot supported; an unknown slot, or a yes without support, abstains; no stands."""
     unknown = F.exists(supported, lambda x: x.isNull()) | (F.size(supported) == 0)
     every = F.forall(supported, lambda x: F.coalesce(x, F.lit(False)))
-    return F.when(unknown, "abstain").when(claimed == "yes", F.when(every, "yes").otherwise("abstain")).otherwise(F.when(every, "abstain").otherwise("no"))
+    return F.when(unknown, "abstain").when(claimed == "yes", F.when(every, "yes").otherwise("abstain")).when(claimed == "no", "no").otherwise("abstain")
 
 
 def valid_citations(cited: Column, retrieved: Column) -> Column:

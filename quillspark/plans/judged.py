@@ -230,7 +230,7 @@ def date_relation(spark, sf_dir):
 
 @query(
     """WITH s AS (SELECT doc_id, [CASE doc_id % 3 WHEN 0 THEN NULL ELSE quality = 1 END, toxic = 0] AS v, CASE WHEN doc_id % 2 = 0 THEN 'yes' ELSE 'no' END AS claimed FROM labels)
-SELECT doc_id, CASE WHEN v[1] IS NULL OR v[2] IS NULL THEN 'abstain' WHEN claimed = 'yes' THEN CASE WHEN v[1] AND v[2] THEN 'yes' ELSE 'abstain' END ELSE CASE WHEN v[1] AND v[2] THEN 'abstain' ELSE 'no' END END AS verdict FROM s"""
+SELECT doc_id, CASE WHEN v[1] IS NULL OR v[2] IS NULL THEN 'abstain' WHEN claimed = 'yes' THEN CASE WHEN v[1] AND v[2] THEN 'yes' ELSE 'abstain' END ELSE 'no' END AS verdict FROM s"""
 )
 def claim_verdict(spark, sf_dir):
     v = F.array(F.when(F.col("doc_id") % 3 != 0, F.col("quality") == 1), F.col("toxic") == 0)

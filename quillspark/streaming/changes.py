@@ -59,3 +59,28 @@ def apply_once(stream: DataFrame, ledger: str, apply: Callable[[DataFrame], None
             once.unpersist()
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def read_kafka(spark: SparkSession, servers: str, topic: str) -> DataFrame:
+    """Events from Kafka, where its connector is installed: earliest offsets, JSON values."""
+    from pyspark.sql import functions as F
+
+    schema = "event_id string, operation string, doc_id string, file_path string, observed_hash string, timestamp double"
+    raw = spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", topic).option("startingOffsets", "earliest").load()
+    return raw.select(F.from_json(F.col("value").cast("string"), schema).alias("e")).select("e.*")
+
+
+def publish(events: DataFrame, path: str, key: str = "event_id") -> None:
+    """Events as (key, JSON value), the shape that a Kafka sink takes, to a folder."""
+    from pyspark.sql import functions as F
+
+    events.select(F.col(key).cast("string").alias("key"), F.to_json(F.struct(*events.columns)).alias("value")).write.mode("append").json(path)
+
+
+def watch(spark: SparkSession, folder: str) -> DataFrame:
+    """New and changed files below a folder as a stream (path, content_hash, ts); deletes come
+    from comparing listings."""
+    from pyspark.sql import functions as F
+
+    files = spark.readStream.format("binaryFile").option("recursiveFileLookup", "true").schema("path string, modificationTime timestamp, length bigint, content binary").load(folder)
+    return files.select("path", F.sha2("content", 256).alias("content_hash"), F.col("modificationTime").alias("ts"))

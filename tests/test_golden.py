@@ -223,3 +223,45 @@ def test_stream_applies_events_once(spark, tmp_path):
         stream = changes.read_events(spark, f"{tmp_path}/in/*")
         changes.apply_once(stream, f"{tmp_path}/ledger", lambda df: seen.extend(r.event_id for r in df.select("event_id").collect()), f"{tmp_path}/state{run}").awaitTermination()
     assert len(seen) == len(set(seen)) > 0
+
+
+def test_directory_watch_and_publish(spark, tmp_path):
+    from quillspark.streaming import changes
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.txt").write_text("x")
+    q = changes.watch(spark, f"{tmp_path}/in").writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
+    q.awaitTermination()
+    out = spark.read.parquet(f"{tmp_path}/out")
+    assert out.count() == 1 and out.first().path.endswith("a.txt")
+    changes.publish(out, f"{tmp_path}/pub", "path")
+    assert spark.read.json(f"{tmp_path}/pub").columns == ["key", "value"]
+
+
+def test_preparation(spark):
+    from quillspark.operators import preparation as P
+
+    a = P.articles(spark.createDataFrame([(0, "", "T", "http://x/1", "b", "s"), (1, "", "T2", "http://x/1", "b", "s"), (2, "id 9", "", "", "b", "s")], "n int, id string, title string, url string, body string, source string"))
+    ids = {r.n: r.doc_id for r in a.collect()}
+    assert ids == {0: "http-x-1", 1: "http-x-1-0001", 2: "id-9"}
+    cases = spark.createDataFrame([("q1", "x", [("T", ""), ("?", "http://x/1")]), ("q2", "null_query", [("T", "")]), ("q3", "x", [])], "sample_id string, category string, evidence array<struct<title:string,url:string>>")
+    r = {x.sample_id: x for x in P.resolve_evidence(cases, a).collect()}
+    assert r["q1"].evidence_doc_ids == ["http-x-1", "http-x-1-0001"] and r["q2"].unanswerable and r["q3"].unanswerable
+    top = P.evidence_documents(P.resolve_evidence(cases, a), 1)
+    assert top.first()[:] == ("http-x-1", 2)
+    assert [x.sample_id for x in P.contained(P.resolve_evidence(cases, a), top).collect()] == ["q2"]
+    est = P.estimate(spark.createDataFrame([(700,), (20,)], "tokens int"), spark.createDataFrame([(30, "retrieval"), (35, "answer")], "tokens int, kind string")).first()
+    assert (est.chunks, est.chat_calls, est.embedding_calls, est.embedding_tokens) == (3, 6, 4, 850)
+    files = spark.createDataFrame([("b", bytearray(b"2")), ("a", bytearray(b"1"))], "path string, content binary")
+    assert P.tree_hash(files).first() == P.tree_hash(files.orderBy("path")).first()
+    rec = spark.createDataFrame([(f"{i:03}", 1.0, 0.9 if i < 10 else 0.1, 5.0) for i in range(40)], "sample_id string, em double, recall double, ms double")
+    g = spark.createDataFrame([("em", "min", 0.5), ("recall", "min", 0.5), ("p95", "max", 9.0)], "name string, direction string, limit double")
+    e = {(x.stage, x.name): (x.passed, x.open) for x in P.experiment(rec, g, (10, 20, 40)).collect()}
+    assert e[10, "recall"] == (True, True) and e[20, "recall"][1] and e[40, "recall"] == (False, e[40, "em"][1])
+    assert "| --- |" in P.report(g, "Gates")
+
+
+@pytest.mark.parametrize(("supported", "claimed", "want"), [([True, True], "yes", "yes"), ([True, False], "yes", "abstain"), ([True, None], "no", "abstain"), ([True, True], "no", "no"), ([], "yes", "abstain"), ([True], "unknown", "abstain")])
+def test_verdict(spark, supported, claimed, want):
+    df = spark.createDataFrame([(supported, claimed)], "s array<boolean>, c string")
+    assert df.select(ev.verdict(F.col("s"), F.col("c")).alias("v")).first().v == want
