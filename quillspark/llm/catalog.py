@@ -161,25 +161,6 @@ SELECT doc_id, size, source_size, target, ({copies})::BIGINT AS taken FROM q
 """
 
 
-def _sharding_sql() -> str:
-    big = "18446744073709551616"
-
-    def jump(n: int) -> str:
-        step = f"""CASE WHEN s.j >= {n} THEN s ELSE {{'key': ((s.key * 2862933555777941757 + 1) % {big})::UHUGEINT, 'b': s.j,
-          'j': ((s.j + 1)::DOUBLE * (2147483648.0::DOUBLE / ((((s.key * 2862933555777941757 + 1) % {big}) // 8589934592)::DOUBLE + 1.0::DOUBLE)))::DOUBLE}} END"""
-        floored = step.replace("::DOUBLE}", ")}").replace("'j': (", "'j': floor((", 1)
-        start = "{'key': key64::UHUGEINT, 'b': 0.0::DOUBLE, 'j': 0.0::DOUBLE}"
-        fold = f"list_reduce(list_prepend({start}, list_transform(range({n + 1}), lambda i: {start})), lambda s, i: {floored})"
-        return f"({fold}).b::INT"
-
-    return f"""
-WITH d AS (SELECT doc_id, (strlen(coalesce(text, '')) + 8)::BIGINT AS size, coalesce(text, '') AS text, md5('0:' || coalesce(doc_id::VARCHAR, 'null')) AS k FROM documents),
-e AS (SELECT doc_id, size, text, k, ('0x' || substr(k, 1, 16))::UBIGINT AS key64 FROM d),
-s AS (SELECT doc_id, size, text, k, {jump(sharding.SHARDS)} AS shard, {jump(sharding.SHARDS + 1)} AS grown_shard FROM e)
-SELECT doc_id, size, shard, grown_shard FROM s
-"""
-
-
 def _topk_sql() -> str:
     return f"""
 WITH v AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor({topk.SCALE} * x::DOUBLE)) AS e FROM embeddings
