@@ -132,7 +132,7 @@ class Engine:
 
     # -- questions ---------------------------------------------------------------------
 
-    def retrieve(self, questions: DataFrame, top_k: int = S.top_k, mode: str = "hybrid") -> DataFrame:
+    def retrieve(self, questions: DataFrame, top_k: int = S.top_k, mode: str = "hybrid", depth: int = S.candidate_depth) -> DataFrame:
         """For (question_id, question[, document_ids]): ranked chunks with scores and sources.
 
         ``mode``: vector (dense and lexical), graph, or hybrid."""
@@ -155,20 +155,20 @@ class Engine:
             hits = lexical.bm25(ready, sub, "chunk_id", "content", "sub", "query").withColumnRenamed("question_id", "sub").withColumnRenamed("doc_id", "chunk_id")
             lex = hits.join(ready.select("chunk_id", "doc_id"), "chunk_id").select("sub", "chunk_id", "doc_id", F.col("bm25").alias("s")).join(sub, "sub")
             for name, hits in (("vector", dense), ("lexical", lex)):
-                hits = lexical.top(permitted(hits), "sub", [F.col("s").desc(), F.col("chunk_id")], S.candidate_depth)
+                hits = lexical.top(permitted(hits), "sub", [F.col("s").desc(), F.col("chunk_id")], depth)
                 found.append(fusion.merge_queries(hits, "question_id", "sub", "chunk_id", "rank", "slot").select("question_id", "chunk_id", "score", F.lit(name).alias("source")))
         if mode != "vector":
             words = q.select("question_id", F.explode(F.array_distinct(F.transform(F.regexp_extract_all("question", F.lit(r"(?U)[\w-]+"), F.lit(0)), lambda w: F.lower(w)))).alias("word"))
             named = entities.select("key", F.explode(F.split("key", " ")).alias("word")).where("length(word) > 2")
             start = words.join(named, "word").select("question_id", "key").distinct()
-            hits = graph.bounded_bfs(cut(start), relations, mentions, 2, S.candidate_depth)
+            hits = graph.bounded_bfs(cut(start), relations, mentions, 2, depth)
             hits = permitted(hits.join(chunks.select("chunk_id", "doc_id", "content"), "chunk_id").join(q.select("question_id", "question"), "question_id"))
             found.append(graph.graph_score(hits, "question", "content").select("question_id", "chunk_id", "score", F.lit("graph").alias("source")))
         both = found[0]
         for f in found[1:]:
             both = both.unionByName(f)
         weights = {"vector": S.vector_weight, "lexical": S.lexical_weight, "graph": S.graph_weight}
-        fused = fusion.fuse_sources(both, "question_id", "chunk_id", "source", "score", weights).where(F.col("rank") <= S.candidate_depth)
+        fused = fusion.fuse_sources(both, "question_id", "chunk_id", "source", "score", weights).where(F.col("rank") <= depth)
         text = fused.join(windows.context_windows(chunks, "doc_id", "ordinal", "content").select("chunk_id", "doc_id", "content", "window"), "chunk_id").join(q, "question_id")
         return self._packed(cut(text), top_k)
 
@@ -193,6 +193,22 @@ class Engine:
         packed = fusion.pack_slots(full.select("question_id", "chunk_id", "doc_id", "rank", "slot_ids", F.col("plan.slots").alias("required")), "question_id", top_k)
         return packed.join(full.drop("doc_id", "rank"), ["question_id", "chunk_id"]).select("question_id", "question", "position", "chunk_id", "doc_id", "content", "window", "score", "sources", "slot_ids", "plan")
 
+    def supplement(self, questions: DataFrame, found: DataFrame, top_k: int = S.top_k) -> DataFrame:
+        """Results of ``retrieve`` in which questions that lack evidence for a slot are searched
+        once more, deeper and without the graph, and packed again from old and new rows."""
+        have = found.groupBy("question_id").agg(F.array_distinct(F.flatten(F.collect_list("slot_ids"))).alias("have"), F.first("plan.slots").alias("need"))
+        short = cut(have.where(F.size(F.array_except("need", "have")) > 0).select("question_id"))
+        if short.isEmpty():
+            return found
+        deeper = self.retrieve(questions.join(short, "question_id", "left_semi"), S.max_top_k, "vector", S.local_max)
+        both = found.join(short, "question_id", "left_semi").unionByName(deeper)
+        best = F.row_number().over(Window.partitionBy("question_id", "chunk_id").orderBy(F.col("score").desc(), "position"))
+        pool = both.withColumn("__b", best).where("__b = 1")
+        rank = F.row_number().over(Window.partitionBy("question_id").orderBy(F.col("score").desc(), "chunk_id"))
+        pool = pool.withColumn("rank", rank).where(F.col("rank") <= S.local_max).drop("__b", "position", "slot_ids", "rerank_score")
+        again = self._packed(cut(pool), top_k)
+        return found.join(short, "question_id", "left_anti").unionByName(again)
+
     def ask(self, questions: DataFrame, top_k: int = S.top_k, mode: str = "hybrid") -> DataFrame:
         """(question_id, answerable, answer, citation_ids, evidence_score, contexts)."""
         top_k = max(1, min(S.max_top_k, top_k))

@@ -72,3 +72,38 @@ def test_records():
     from quillspark.sources.store import records
 
     assert records('[{"a": 1}]') == records('{"data": [{"a": 1}]}') == records('{"a": 1}') == records('\n{"a": 1}\n') == [{"a": 1}]
+
+
+def test_supplement(spark, tmp_path):
+    """A question of two slots keeps its rows, each once, after the second search."""
+    e = Engine(spark, f"file://{tmp_path}")
+    e.ingest(files(spark, {f"/d/{i}.txt": f"Lamp {i} was sold in 20{10 + i} to the first source of Berlin" for i in range(6)}))
+    q = spark.createDataFrame([(1, "Was Lamp 1 sold before Lamp 2?"), (2, "Who bought Lamp 3")], "question_id int, question string")
+    found = e.retrieve(q, 3)
+    bare = found.withColumn("slot_ids", F.when(F.col("question_id") == 1, F.array().cast("array<string>")).otherwise(F.col("slot_ids")))
+    from quillspark.shared import cut
+
+    again = e.supplement(q, cut(bare), 3)
+    assert again.columns == found.columns
+    rows = [(r.question_id, r.chunk_id) for r in again.collect()]
+    assert len(rows) == len(set(rows)) == 6 and again.where("question_id = 1").agg(F.max("position")).first()[0] == 3
+
+
+def test_temporal_and_comparison_answers(spark):
+    from quillspark.operators import answering
+
+    q = spark.createDataFrame([(1, ["left", "right"], "before", "yes"), (2, ["left", "right"], "before", "no"), (3, ["left", "right"], "same_claim", "yes"), (4, ["left"], "before", "yes"), (5, ["left", "right"], "after", "yes"), (6, ["left", "right"], "before", "yes")], "question_id int, slots array<string>, relation string, claimed string")
+    c = spark.createDataFrame([(i, x) for i in range(1, 7) for x in ("c1", "c2")], "question_id int, chunk_id string")
+    rows = [
+        (1, "left", "c1", "2020", None, True), (1, "right", "c2", "2021-05", None, True),
+        (2, "left", "c1", "2022", None, True), (2, "right", "c2", "2021", None, False),
+        (3, "left", "c1", None, "same_claim", True), (3, "right", "c2", None, "same_claim", None),
+        (4, "left", "c1", "2020", None, True),
+        (5, "left", "c1", "2020", None, True), (5, "right", "nope", "2021", None, True),
+        (6, "left", "c1", "2020", None, True), (6, "left", "c2", "2021", None, True), (6, "right", "c2", "2021", None, True),
+    ]
+    e = spark.createDataFrame(rows, "question_id int, slot_id string, citation_id string, date string, observed string, supported boolean")
+    t = {r.question_id: (r.answer, r.why) for r in answering.temporal(q, e, c).collect()}
+    assert t == {1: ("Yes", None), 2: ("No", None), 3: ("Yes", None), 4: (None, "missing_required_slots"), 5: (None, "invalid_citation"), 6: (None, "unknown")}
+    k = {r.question_id: (r.answer, r.why) for r in answering.comparison(q, e, c).collect()}
+    assert k[1] == ("Yes", None) and k[2] == ("No", None) and k[3] == (None, "inconsistent_or_unknown") and k[6] == ("Yes", None)
