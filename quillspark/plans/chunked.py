@@ -85,7 +85,7 @@ def lexical_tokens(spark, sf_dir):
     return c.select("conv_id", "turn", F.array_join("t", " ").alias("tokens"), F.size("t").cast("long").alias("n_tokens"))
 
 
-@query("SELECT doc_id, source || '.txt ' || lang || chr(10) || text || chr(10) || '数据 据库 库' AS search_text FROM (SELECT doc_id, source, lang, trim(text) || ' 数据库' || ' 库' AS text FROM documents)".replace("'数据 据库 库'", "'数据 据库 库'"))
+@query("SELECT doc_id, source || '.txt ' || lang || chr(10) || text || chr(10) || '数据 据库 库' AS search_text FROM (SELECT doc_id, source, lang, trim(text) || ' 数据库' || ' 库' AS text FROM documents)")
 def search_text_bigrams(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
     body = F.concat(F.trim("text"), F.lit(" 数据库"), F.lit(" 库"))

@@ -121,28 +121,29 @@ def _bfs(spark, sf_dir, hops, limit):
     return graph.bounded_bfs(_start(spark, sf_dir), r, cut(_mentions(spark, sf_dir)), hops, limit)
 
 
-@query(f"WITH {_bfs_sql(1, 200)} SELECT * FROM d1")
+@query(f"WITH {_bfs_sql(1, 200)} SELECT question_id, chunk_id, hops, array_to_string(entities, ',') AS entities, matched FROM d1")
 def graph_bfs_1hop(spark, sf_dir):
-    return _bfs(spark, sf_dir, 1, 200).select("question_id", "chunk_id", "hops", "entities", "matched")
+    return _bfs(spark, sf_dir, 1, 200).select("question_id", "chunk_id", "hops", F.array_join("entities", ",").alias("entities"), "matched")
 
 
-@query(f"WITH {_bfs_sql(2, 300)} SELECT * FROM d2")
+@query(f"WITH {_bfs_sql(2, 300)} SELECT question_id, chunk_id, hops, array_to_string(entities, ',') AS entities, matched FROM d2")
 def graph_bfs_2hop(spark, sf_dir):
-    return _bfs(spark, sf_dir, 2, 300).select("question_id", "chunk_id", "hops", "entities", "matched")
+    return _bfs(spark, sf_dir, 2, 300).select("question_id", "chunk_id", "hops", F.array_join("entities", ",").alias("entities"), "matched")
 
 
-@query(f"WITH {_bfs_sql(3, 400)} SELECT question_id, chunk_id, hops, entities, matched FROM d3")
+@query(f"WITH {_bfs_sql(3, 400)} SELECT question_id, chunk_id, hops, array_to_string(entities, ',') AS entities, matched FROM d3")
 def graph_bfs_3hop(spark, sf_dir):
-    return _bfs(spark, sf_dir, 3, 400).select("question_id", "chunk_id", "hops", "entities", "matched")
+    return _bfs(spark, sf_dir, 3, 400).select("question_id", "chunk_id", "hops", F.array_join("entities", ",").alias("entities"), "matched")
 
 
 @query(
     f"""WITH {_E}, {_R}, {_S}, {_UND}, n AS (SELECT question_id, other AS key, max(coalesce(confidence, 0)) AS confidence, list_sort(list_distinct(list(predicate))) AS predicates
-FROM st JOIN ud USING (key) WHERE (question_id, other) NOT IN (SELECT (question_id, key) FROM st) GROUP BY 1, 2) SELECT * FROM n"""
+FROM st JOIN ud USING (key) WHERE (question_id, other) NOT IN (SELECT (question_id, key) FROM st) GROUP BY 1, 2) SELECT question_id, key, confidence, array_to_string(predicates, ',') AS predicates FROM n"""
 )
 def graph_neighbors(spark, sf_dir):
     s = _start(spark, sf_dir)
-    return graph.neighbours(s, _relations(spark, sf_dir, _entities(spark, sf_dir)), s, 200)
+    n = graph.neighbours(s, _relations(spark, sf_dir, _entities(spark, sf_dir)), s, 200)
+    return n.withColumn("predicates", F.array_join("predicates", ","))
 
 
 @query(

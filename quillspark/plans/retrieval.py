@@ -25,6 +25,11 @@ DENSE = f"""sm AS (SELECT q.vec_id AS question_id, v.vec_id, v.label, {_SIM} AS
 dn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY similarity DESC, vec_id) AS rank FROM sm) WHERE rank <= {S.candidate_depth})"""
 
 
+def _said(df, column):
+    """An array column as text, so that any engine shows the same."""
+    return df.withColumn(column, F.array_join(column, ","))
+
+
 def _asked(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").where(ASKED)
 
@@ -112,11 +117,11 @@ def modality_rrf(spark, sf_dir):
 @query(
     f"""WITH {DENSE}, h AS (SELECT question_id % 3 AS q, question_id AS sub, 'slot_' || (question_id % 2) AS slot, vec_id, rank FROM dn),
 f AS (SELECT q, vec_id, sum(1.0::DOUBLE / (60 + rank)) AS rrf, list_sort(list_distinct(list(slot))) AS slots FROM h GROUP BY q, vec_id)
-SELECT q, vec_id, slots, round(rrf / max(rrf) OVER (PARTITION BY q), 9) AS score FROM f"""
+SELECT q, vec_id, array_to_string(slots, ',') AS slots, round(rrf / max(rrf) OVER (PARTITION BY q), 9) AS score FROM f"""
 )
 def subquery_rrf(spark, sf_dir):
     h = _dense(spark, sf_dir).select((F.col("question_id") % 3).alias("q"), F.col("question_id").alias("sub"), F.concat(F.lit("slot_"), (F.col("question_id") % 2).cast("string")).alias("slot"), "vec_id", "rank")
-    return fusion.merge_queries(h, "q", "sub", "vec_id", "rank", "slot")
+    return _said(fusion.merge_queries(h, "q", "sub", "vec_id", "rank", "slot"), "slots")
 
 
 _HYBRID = f"""{BM25}, {LEX}, {DENSE},
@@ -133,17 +138,17 @@ def _hybrid(spark, sf_dir):
     return fusion.fuse_sources(lex.unionByName(den), "question_id", "id", "source", "s", {"vector": S.vector_weight, "lexical": S.lexical_weight})
 
 
-@query(f"WITH {_HYBRID} SELECT question_id, id, sources, score, rank FROM hy WHERE rank <= 10")
+@query(f"WITH {_HYBRID} SELECT question_id, id, array_to_string(sources, ',') AS sources, score, rank FROM hy WHERE rank <= 10")
 def hybrid_rrf_topk(spark, sf_dir):
     """The flagship: BM25 and cosine candidates, fused by weighted reciprocal ranks."""
-    return _hybrid(spark, sf_dir).where("rank <= 10").select("question_id", "id", "sources", "score", "rank")
+    return _said(_hybrid(spark, sf_dir).where("rank <= 10").select("question_id", "id", "sources", "score", "rank"), "sources")
 
 
-@query(f"WITH {_HYBRID} SELECT question_id, id, max(s) AS score, list_sort(list_distinct(list(source))) AS sources, CASE WHEN count(DISTINCT source) > 1 THEN 'hybrid' ELSE min(source) END AS source_type FROM c GROUP BY question_id, id")
+@query(f"WITH {_HYBRID} SELECT question_id, id, max(s) AS score, array_to_string(list_sort(list_distinct(list(source))), ',') AS sources, CASE WHEN count(DISTINCT source) > 1 THEN 'hybrid' ELSE min(source) END AS source_type FROM c GROUP BY question_id, id")
 def dedup_contexts(spark, sf_dir):
     lex = _lexical(spark, sf_dir).select("question_id", F.col("doc_id").alias("id"), F.lit("lexical").alias("source"), F.col("bm25").alias("s"))
     den = _dense(spark, sf_dir).select("question_id", F.col("vec_id").alias("id"), F.lit("vector").alias("source"), F.col("similarity").alias("s"))
-    return fusion.deduplicate(lex.unionByName(den), "question_id", "id", "s", "source")
+    return _said(fusion.deduplicate(lex.unionByName(den), "question_id", "id", "s", "source"), "sources")
 
 
 _SLOTS = """sc AS (SELECT hy.question_id, hy.id, hy.rank, 'slot_' || k AS slot, round(((hy.id * (7 + k * 6)) % 101) / 101.0::DOUBLE, 6) AS score FROM hy, (SELECT unnest([0, 1]) AS k) WHERE hy.rank <= 20),
@@ -160,9 +165,9 @@ def _reranked(spark, sf_dir):
     return fusion.rerank(c, s, "question_id", "id")
 
 
-@query(f"WITH {_HYBRID}, {_RERANKED} SELECT question_id, id, rerank_score, slot_ids, score FROM rr")
+@query(f"WITH {_HYBRID}, {_RERANKED} SELECT question_id, id, rerank_score, array_to_string(slot_ids, ',') AS slot_ids, score FROM rr")
 def rerank_slot_fusion(spark, sf_dir):
-    return _reranked(spark, sf_dir)
+    return _said(_reranked(spark, sf_dir), "slot_ids")
 
 
 _DOCS = "rd AS (SELECT question_id, id, id % 5 AS doc, rank FROM hy)"
@@ -172,7 +177,7 @@ def _docs(spark, sf_dir):
     return _hybrid(spark, sf_dir).select("question_id", "id", (F.col("id") % 5).alias("doc"), "rank")
 
 
-@query(f"WITH {_HYBRID}, {_DOCS}, c AS (SELECT *, row_number() OVER (PARTITION BY question_id, doc ORDER BY rank) AS n FROM rd), p AS (SELECT question_id, id, doc, rank, row_number() OVER (PARTITION BY question_id ORDER BY rank) AS position FROM c WHERE n <= 2) SELECT * FROM p WHERE position <= 8".replace(", c AS (SELECT *, row_number() OVER (PARTITION BY question_id, doc", ", cc AS (SELECT *, row_number() OVER (PARTITION BY question_id, doc").replace("FROM c WHERE n", "FROM cc WHERE n").replace(", p AS (SELECT question_id, id, doc", ", pp AS (SELECT question_id, id, doc").replace("FROM p WHERE position", "FROM pp WHERE position"))
+@query(f"WITH {_HYBRID}, {_DOCS}, cc AS (SELECT *, row_number() OVER (PARTITION BY question_id, doc ORDER BY rank) AS n FROM rd), pp AS (SELECT question_id, id, doc, rank, row_number() OVER (PARTITION BY question_id ORDER BY rank) AS position FROM cc WHERE n <= 2) SELECT * FROM pp WHERE position <= 8")
 def pack_cap_per_doc(spark, sf_dir):
     return fusion.cap_per_document(_docs(spark, sf_dir), "question_id", "doc", "rank", S.chunks_per_document, 8)
 
