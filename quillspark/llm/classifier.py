@@ -27,27 +27,26 @@ from quillspark.shared import text_or_empty
 SAMPLE = 20_000
 TREES, DEPTH, BINS, PENALTY = 40, 3, 48, 0.0015
 PREDICT = 0.7
-LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 FEATURES = ("words", "word_length", "distinct", "stops", "capitals", "digits", "symbols", "bars", "bangs", "stops_marks", "commas", "lines", "repeated_lines", "ascii")
 
 
 def statistics(df: DataFrame, text: str) -> DataFrame:
     """``df`` with one double for each of FEATURES, named ``__f_...``."""
-    count = lambda chars: (F.length("__t") - F.length(F.translate("__t", chars, ""))).cast("double")
+    count = lambda chars: F.regexp_count("__t", F.lit(f"[{chars}]")).cast("double")
     df = df.withColumn("__t", text_or_empty(text))
     df = df.select("*", F.array_remove(F.split("__t", GAPS, -1), "").alias("__w"), F.filter(F.split("__t", "\n", -1), lambda x: F.btrim(x, F.lit(SPACES)) != "").alias("__l"))
     n = F.greatest(F.size("__w"), F.lit(1)).cast("double")
-    chars = F.greatest(F.length(F.translate("__t", SPACES, "")), F.lit(1)).cast("double")
+    chars = F.greatest(F.length(F.array_join("__w", "")), F.lit(1)).cast("double")
     lines = F.greatest(F.size("__l"), F.lit(1)).cast("double")
     made = {
         "words": F.size("__w").cast("double"),
         "word_length": chars / n,
         "distinct": F.size(F.array_distinct("__w")) / n,
         "stops": F.size(F.filter("__w", lambda w: w.isin(STOP_FORMS))) / n,
-        "capitals": count(LETTERS) / chars,
-        "digits": count("0123456789") / chars,
-        "symbols": count("#*$%&<>@^~=+_\\{}[]") / n,
+        "capitals": count("A-Z") / chars,
+        "digits": count("0-9") / chars,
+        "symbols": count(r"#*$%&<>@\^~=+_\\{}\[\]") / n,
         "bars": count("|") / n,
         "bangs": count("!?") / n,
         "stops_marks": count(".;:") / n,
