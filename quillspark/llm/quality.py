@@ -71,8 +71,7 @@ def measured(df: DataFrame, text: str = "text") -> DataFrame:
         "*",
         F.array_remove(F.split("__text", GAPS, -1), "").alias("__words"),
         lines.alias("__lines"),
-        F.length(F.translate("__text", SPACES, "")).cast("long").alias("__word_chars"),
-        (F.length("__text") - F.length(F.translate("__text", SYMBOLS, ""))).cast("long").alias("__n_symbols"),
+        F.regexp_count("__text", F.lit(f"[{SYMBOLS}]")).cast("long").alias("__n_symbols"),
     )
     words, n = F.col("__words"), F.size("__words")
     hashes = F.transform(words, lambda w, i: F.xxhash64(w, F.get(words, i + 1), F.get(words, i + 2)))
@@ -81,6 +80,7 @@ def measured(df: DataFrame, text: str = "text") -> DataFrame:
         *[c for c in df.columns if c not in ("__words", "__lines", "__text")],
         n.cast("long").alias("__n_words"),
         F.size(F.filter("__words", lambda w: w.isin(STOP_FORMS))).cast("long").alias("__n_stop"),
+        F.length(F.array_join("__words", "")).cast("long").alias("__word_chars"),
         F.size("__lines").cast("long").alias("__n_lines"),
         (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long").alias("__n_dup_lines"),
         windows.alias("__windows"),
