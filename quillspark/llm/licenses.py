@@ -174,13 +174,14 @@ def scan(df: DataFrame, doc_id: str = "doc_id", text: str = "text", templates: d
             for k in range(0, b.num_rows, 500):
                 part = b.slice(k, 500)
                 texts = [words(t) for t in part.column(1).to_pylist()]
-                # End to end; the gap of WINDOW words that never match keeps documents apart.
-                sizes = np.array([len(w) for w in texts])
-                starts = np.cumsum(np.concatenate(([0], sizes + WINDOW)))[:-1]
-                codes = np.zeros(int(sizes.sum()) + WINDOW * len(texts), np.uint32)
+                # End to end; at least WINDOW words that never match keep documents apart, and
+                # each begins at a multiple of STRIDE, so that its windows don't depend on others.
+                room = np.array([len(w) + WINDOW for w in texts], np.int64)
+                ends = np.cumsum(room + -room % STRIDE)
+                starts = np.concatenate(([0], ends[:-1]))
+                codes = np.zeros(int(ends[-1]), np.uint32)
                 for s, w in zip(starts, texts, strict=True):
                     codes[s : s + len(w)] = np.fromiter(map(zlib.crc32, w), np.uint32, len(w))
-                # Windows begin every STRIDE shingles of the whole; any phase serves.
                 found: dict[int, list[tuple[int, int, int]]] = {}
                 for place, hits in index.places(shingle_hashes(codes, SHINGLE)).items():
                     d = int(np.searchsorted(starts, place, side="right")) - 1
