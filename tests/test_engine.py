@@ -107,3 +107,21 @@ def test_temporal_and_comparison_answers(spark):
     assert t == {1: ("Yes", None), 2: ("No", None), 3: ("Yes", None), 4: (None, "missing_required_slots"), 5: (None, "invalid_citation"), 6: (None, "unknown")}
     k = {r.question_id: (r.answer, r.why) for r in answering.comparison(q, e, c).collect()}
     assert k[1] == ("Yes", None) and k[2] == ("No", None) and k[3] == (None, "inconsistent_or_unknown") and k[6] == ("Yes", None)
+
+
+def test_store_readers_and_assets(spark, tmp_path):
+    from quillspark.sources import store
+
+    (tmp_path / "a.jsonl").write_text('{"a": 1, "b": "x"}\n\n{"a": 2}\n')
+    assert sorted(r.a for r in store.read_jsonl(spark, str(tmp_path / "a.jsonl"), "a int, b string").collect()) == [1, 2]
+    (tmp_path / "d.json").write_text('{"data": [{"q": 1}, {"q": 2}]}')
+    assert sorted(r.record for r in store.read_records(spark, str(tmp_path / "d.json")).collect()) == ['{"q": 1}', '{"q": 2}']
+    rows = spark.createDataFrame([("d1", bytearray(b"x")), ("d1", bytearray(b"x")), ("../up", bytearray(b"y"))], "doc_id string, content binary")
+    paths = {r.doc_id: r.asset_path for r in store.write_assets(rows, str(tmp_path / "assets")).collect()}
+    assert paths["d1"].startswith("d1/") and paths["../up"].startswith("external-") and len(paths) == 2
+
+    s = store.Store(spark, f"file://{tmp_path}/s", {"t": "k string, v int"})
+    assert s.read("t").count() == 0
+    one = spark.createDataFrame([("a", 1)], "k string, v int")
+    assert store.append_new(s, "t", one, "k") == 1 and store.append_new(s, "t", one, "k") == 0
+    assert [tuple(r) for r in s.read("t").collect()] == [("a", 1)]
