@@ -192,7 +192,8 @@ def link(fps: DataFrame) -> DataFrame:
     found = components(links(distinct, distinct.count()))
     named = distinct.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     named = cut(named)
-    names = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    # Cut, so that the join deals both sides anew and a large component's rows can be split.
+    names = cut(named.groupBy("root").agg(F.min("least").alias("component_id")))
     of = cut(named.join(names, "root").select("fp", "root", "component_id"))
     return fps.join(of, "fp", "left")
 
