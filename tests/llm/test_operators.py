@@ -471,3 +471,28 @@ def test_jump_moves_few():
 
 def test_empty_schema_constant(docs):
     assert docs.schema.simpleString().count(":") == len(SCHEMA.split(","))
+
+
+def test_passages_split_among_other_documents(spark):
+    """Two documents share a passage; a seed's first and last documents have only parts of it."""
+    p = words(500, 56).split()
+    texts, d = {}, 0
+    for k in range(12):  # many documents with the first or the second half, before and after by any order
+        for half in (p[:30], p[26:]):
+            texts[d] = words(600 + d, 40) + " " + " ".join(half) + " " + words(700 + d, 40)
+            d += 1
+    texts[100] = words(800, 25) + " " + " ".join(p) + " " + words(801, 20)
+    texts[101] = words(802, 70) + " " + " ".join(p)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    got = substring.passages(df).collect()
+    assert {frozenset((r.doc_id, r.other_doc_id)) for r in got} == {frozenset((100, 101))}
+    for r in got:
+        assert texts[r.doc_id].split()[r.start : r.stop] == p == texts[r.other_doc_id].split()[r.other_start : r.other_stop]
+
+
+def test_open_places():
+    m = np.arange(0, 200, 10)
+    assert substring.open_places(m, [(0, 300)]) == []
+    assert substring.open_places(np.array([3, 9, 12]), []) == []
+    (a, b), = substring.open_places(m, [(0, 100), (90, 300)])
+    assert a <= 80 <= b and b < 110
