@@ -48,10 +48,14 @@ def top(scored: DataFrame, key: str, order: list[Column], k: int) -> DataFrame:
     return scored.withColumn("rank", rank.cast("long")).where(F.col("rank") <= k)
 
 
-def fallback_score(tokens: Column, haystack: Column) -> tuple[Column, Column]:
+def occurrences(tokens: Column, low: Column) -> Column:
+    """How often each token stands in a lower-cased text. ``low`` is a column made
+    beforehand: lambdas evaluate what they hold for every token."""
+    return F.transform(tokens, lambda t: ((F.octet_length(low) - F.octet_length(F.replace(low, t, F.lit("")))) / F.octet_length(t)).cast("long"))
+
+
+def fallback_score(counts: Column) -> tuple[Column, Column]:
     """(matched tokens, score): the share of tokens found plus a hundredth for each of ten occurrences."""
-    low = F.lower(haystack)
-    count = lambda t: (F.length(low) - F.length(F.replace(low, t, F.lit("")))) / F.length(t)
-    matched = F.size(F.filter(tokens, lambda t: F.contains(low, t)))
-    often = F.aggregate(F.transform(tokens, lambda t: count(t).cast("long")), F.lit(0).cast("long"), lambda a, x: a + x)
-    return matched.cast("long"), matched / F.size(tokens) + F.least(often, F.lit(10)) / 100
+    matched = F.size(F.filter(counts, lambda n: n > 0))
+    often = F.aggregate(counts, F.lit(0).cast("long"), lambda a, x: a + x)
+    return matched.cast("long"), matched / F.size(counts) + F.least(often, F.lit(10)) / 100

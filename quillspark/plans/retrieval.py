@@ -78,8 +78,11 @@ def lexical_fallback_topk(spark, sf_dir):
     from quillspark.functions.text import lexical_tokens
 
     q = table(spark, sf_dir, "benchmark").where("item_id < 5").select(F.col("item_id").alias("question_id"), lexical_tokens(F.col("text")).alias("toks"))
-    d = table(spark, sf_dir, "documents").select("doc_id", "text").crossJoin(F.broadcast(q))
-    matched, score = lexical.fallback_score(F.col("toks"), F.col("text"))
+    # Columns that aren't deterministic keep each projection apart, so that nothing is made twice.
+    hold = F.monotonically_increasing_id()
+    d = table(spark, sf_dir, "documents").select("doc_id", F.lower("text").alias("low"), hold.alias("hold")).crossJoin(F.broadcast(q)).where("hold >= 0")
+    d = d.select("question_id", "doc_id", lexical.occurrences(F.col("toks"), F.col("low")).alias("counts"), hold.alias("held")).where("held >= 0")
+    matched, score = lexical.fallback_score(F.col("counts"))
     s = d.select("question_id", "doc_id", matched.alias("matched"), F.round(score, 6).alias("score")).where("matched > 0")
     return lexical.top(s, "question_id", [F.col("score").desc(), F.col("doc_id")], 40)
 
