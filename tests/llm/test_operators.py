@@ -496,3 +496,41 @@ def test_open_places():
     assert substring.open_places(np.array([3, 9, 12]), []) == []
     (a, b), = substring.open_places(m, [(0, 100), (90, 300)])
     assert a <= 80 <= b and b < 110
+
+
+@pytest.mark.parametrize("first, foreign, second", [(200, 150, 200), (300, 200, 300), (150, 100, 150), (60, 40, 60)])
+def test_passages_apart_in_one_chain(first, foreign, second):
+    """Two edited passages on one diagonal, foreign words between them: neither dilutes the other."""
+    p = words(900, first + second).split()
+    edited = [f"x{k}" if k % 40 == 25 else w for k, w in enumerate(p)]
+    sides = []
+    for k, w in enumerate((p, edited)):
+        text = " ".join([words(910 + k, 30), *w[:first], words(920 + k, foreign), *w[first:], words(930 + k, 30)])
+        sides.append(substring.word_codes(text.encode()))
+    doc, at, h = substring.seeds(sides)
+    there = dict(zip(h[doc == 1].tolist(), at[doc == 1].tolist(), strict=True))
+    p_, q_ = zip(*[(x, there[y]) for x, y in zip(at[doc == 0].tolist(), h[doc == 0].tolist(), strict=True) if y in there], strict=True)
+    (p0, p1, q0, q1, _), *rest = substring.chains(np.array(p_), np.array(q_))
+    assert not rest  # one chain over the foreign words
+    got = substring.align(*sides, (p0, p1 + substring.SHINGLE), (q0, q1 + substring.SHINGLE))
+    shown = {x for a0, a1, *_ in got for x in range(a0, a1)}
+    assert {*range(30, 30 + first), *range(30 + first + foreign, 30 + first + foreign + second)} <= shown
+    assert len(shown) <= first + second + foreign // 4 and all(x[4] >= substring.MIN_SAME for x in got)
+
+
+def test_parts_show_all_that_is_alike():
+    r = np.random.default_rng(5)
+    for _ in range(200):
+        a = b = 0
+        blocks = []
+        for _ in range(r.integers(1, 12)):
+            a, b, n = a + int(r.integers(0, 30)), b + int(r.integers(0, 30)), int(r.integers(1, 60))
+            blocks.append((a, b, n))
+            a, b = a + n, b + n
+        want = set()
+        for i in range(len(blocks)):
+            for j in range(i, len(blocks)):
+                x, y = blocks[j][0] + blocks[j][2] - blocks[i][0], blocks[j][1] + blocks[j][2] - blocks[i][1]
+                if min(x, y) >= substring.MIN_WORDS and sum(z[2] for z in blocks[i : j + 1]) >= substring.MIN_SAME * max(x, y):
+                    want |= set(range(blocks[i][0], blocks[j][0] + blocks[j][2]))
+        assert {x for p in substring.parts(blocks) for x in range(p[0], p[1])} == want
