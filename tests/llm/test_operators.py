@@ -534,3 +534,26 @@ def test_parts_show_all_that_is_alike():
                 if min(x, y) >= substring.MIN_WORDS and sum(z[2] for z in blocks[i : j + 1]) >= substring.MIN_SAME * max(x, y):
                     want |= set(range(blocks[i][0], blocks[j][0] + blocks[j][2]))
         assert {x for p in substring.parts(blocks) for x in range(p[0], p[1])} == want
+
+
+def test_passages_whose_partner_is_shown(spark):
+    """One document quotes what two others show already; its seeds' first and last documents are others."""
+    p = words(950, 60).split()
+    d_text = [*words(951, 200).split(), *p, *words(952, 200).split()]
+    x_text = list(d_text)
+    texts = {200: " ".join(d_text), 201: words(953, 20) + " " + " ".join(x_text)}
+    n = 0
+    for k in range(14):  # halves of the quoted passage, in many documents before and after by any order
+        for half in (p[:32], p[28:]):
+            texts[n] = words(960 + n, 40) + " " + " ".join(half) + " " + words(1000 + n, 40)
+            n += 1
+    texts[202] = words(954, 50) + " " + " ".join(p) + " " + words(955, 50)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    got = substring.passages(df).collect()
+    pairs = {frozenset((r.doc_id, r.other_doc_id)) for r in got}
+    assert frozenset((200, 201)) in pairs and pairs & {frozenset((200, 202)), frozenset((201, 202))}
+    assert {x for s in pairs for x in s} == {200, 201, 202}
+    for r in got:
+        if 202 in (r.doc_id, r.other_doc_id):
+            a, b = texts[r.doc_id].split()[r.start : r.stop], texts[r.other_doc_id].split()[r.other_start : r.other_stop]
+            assert a == b == p
