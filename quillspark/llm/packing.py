@@ -33,6 +33,8 @@ CAPACITY = 1024
 END = 2
 #: The vocabulary as ranks; it gives the same ids as the tokenizers file of the same name.
 VOCABULARY = "byte_bpe_50k.tiktoken"
+#: The added token of the tokenizers file, which it finds inside texts as it is loaded.
+ADDED = {"<|endoftext|>": 50256}
 #: Three-document patterns stand on a grid of this many tokens.
 GRID = 16
 #: The pattern of the published pre-tokenizer, with possessive repeats; same pieces.
@@ -53,13 +55,18 @@ def encoder(vocabulary: str = VOCABULARY):
         path = vocabulary if os.path.sep in vocabulary else public_tokenizers.path(vocabulary)
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        _encoders[vocabulary] = tiktoken.Encoding(vocabulary, pat_str=PIECES, mergeable_ranks=ranks, special_tokens={})
+        _encoders[vocabulary] = tiktoken.Encoding(vocabulary, pat_str=PIECES, mergeable_ranks=ranks, special_tokens=ADDED)
     return _encoders[vocabulary]
 
 
-def token_ids(text: str | None, vocabulary: str = VOCABULARY) -> np.ndarray:
-    """The ids of a text, little-endian, with the end token."""
-    ids = encoder(vocabulary).encode_ordinary(text) if text else []
+def token_ids(text: str | None, vocabulary: str = VOCABULARY, added: bool = False) -> np.ndarray:
+    """The ids of a text, little-endian, with the end token; ``added`` tokens are plain text unless asked for."""
+    if not text:
+        ids = []
+    elif added:
+        ids = encoder(vocabulary).encode(text, allowed_special="all")
+    else:
+        ids = encoder(vocabulary).encode_ordinary(text)
     return np.array([*ids, END], dtype="<u4")
 
 
@@ -69,14 +76,14 @@ def cuts(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
     return [(0, first), *((s, capacity) for s in range(first, n, capacity))]
 
 
-def pieces(df: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, vocabulary: str = VOCABULARY) -> DataFrame:
+def pieces(df: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, vocabulary: str = VOCABULARY, added: bool = False) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): one row for each piece."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows, numbers = [], []
             for i, t in enumerate(b.column(1).to_pylist()):
-                ids = token_ids(t, vocabulary)
+                ids = token_ids(t, vocabulary, added)
                 for k, (start, n) in enumerate(cuts(len(ids), capacity)):
                     rows.append(i)
                     numbers.append((k, start, n, zlib.crc32(ids[start : start + n].tobytes())))
@@ -203,9 +210,9 @@ def places(planned: list[tuple[tuple[int, ...], int]]) -> dict[int, tuple[np.nda
     return out
 
 
-def pack(df: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, vocabulary: str = VOCABULARY) -> DataFrame:
+def pack(df: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, vocabulary: str = VOCABULARY, added: bool = False) -> DataFrame:
     """Per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    cut_up = cut(pieces(df, doc_id, text, capacity, vocabulary))  # texts are encoded once
+    cut_up = cut(pieces(df, doc_id, text, capacity, vocabulary, added))  # texts are encoded once
     histogram = {r["length"]: r["count"] for r in cut_up.groupBy("length").count().collect()}  # at most CAPACITY rows
     where = places(plan(histogram, capacity))
     keyed = cut_up.withColumn("__key", key_of(F.col("doc_id"), F.col("piece"), F.col("ids_crc32")))
