@@ -1,7 +1,8 @@
 """What jobs share: cutting lineage in the folder that all executors see, and small helpers.
 
-The folder is the one that ``spark.checkpoint.dir`` names. Only where a session has
-none (tests on one machine) a temporary folder is set.
+The folder is the one that ``spark.checkpoint.dir`` names. Only a session on one machine
+(tests) may leave it unset; a temporary folder is set then. On a cluster that is an error:
+a folder of one machine can't be read by the others.
 """
 
 from __future__ import annotations
@@ -11,9 +12,12 @@ import tempfile
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Tables of at most so many rows (a few dozen bytes each) may be sent to all executors.
+BROADCAST_ROWS = 200_000
+
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder; set to a temporary one if the session names none."""
+    """The shared folder; set to a temporary one if a session on one machine names none."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         if not spark.sparkContext.getCheckpointDir():
@@ -21,6 +25,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return named
     at = spark.sparkContext.getCheckpointDir()
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quillspark-"))
         at = spark.sparkContext.getCheckpointDir()
     return at
@@ -32,6 +38,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` (cut, of slim rows) marked for sending to all executors if it is counted to have
+    at most ``rows`` rows; otherwise as it is, and joins shuffle."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
