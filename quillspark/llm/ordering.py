@@ -1,17 +1,30 @@
-"""Deterministic random order and positions in it, without gathering a group in one task.
+"""Positions in a stable order, without gathering a group in one task.
 
-A row's key is the md5 of its stable id, so reruns and other cluster sizes agree. Rows
-are dealt into ranges of the key; counts or sums of the ranges (groups x ranges, one row
-each) give the offset of each range, and only rows of one group and one range are
-ordered together. However large a group is, its ranges are even.
+Rows are range-sorted through all partitions by (group, key, a number of the row). The
+number parts rows that are equal in all else, so not even a key that a third of all rows
+share is one range: Spark's range partitioner samples the whole tuple. Each partition then
+runs a sum of its own; what stood before a partition comes from a table with one row for
+each (partition, group), of which there are at most partitions + groups.
+
+The order of unlike rows depends on their keys alone, so reruns and other cluster sizes
+agree; rows that are alike in group and key are interchangeable.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from quillspark.shared import cut, small
 
-from quillspark.shared import shuffle_partitions
+#: How many low bits of monotonically_increasing_id number a partition's rows.
+ROW_BITS = 33
 
 
 def key_of(*ids: Column, seed: int = 0) -> Column:
@@ -20,26 +33,39 @@ def key_of(*ids: Column, seed: int = 0) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), *parts))
 
 
-def range_of(key: Column, ranges: int) -> Column:
-    """The range (0 to ranges - 1) that a key falls into; ranges follow the key's order."""
-    return F.floor(F.conv(F.substr(key, F.lit(1), F.lit(7)), 16, 10).cast("long") * ranges / F.lit(1 << 28)).cast("int")
+def in_order(df: DataFrame, order: list[Column], value: Column | None = None) -> DataFrame:
+    """``df``, cut, sorted through all partitions by ``order``, with __part (the partition),
+    __value and __run: the sum of ``value`` (1 where none is given) over the partition's rows before."""
+    ordered = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    if value is None:
+        at = F.col("__at")
+        numbered = ordered.withColumn("__at", F.monotonically_increasing_id())
+        counted = numbered.select("*", F.shiftright(at, ROW_BITS).cast("int").alias("__part"), F.lit(1).cast("long").alias("__value"), at.bitwiseAND((1 << ROW_BITS) - 1).alias("__run"))
+        return cut(counted.drop("__at"))
+    valued = ordered.withColumn("__value", value.cast("long"))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, before = TaskContext.get().partitionId(), 0
+        for b in batches:
+            v = b.column("__value").to_numpy()
+            upto = before + np.cumsum(v)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(len(v), part, np.int32)), pa.array(upto - v)], names=[*b.schema.names, "__part", "__run"])
+            before = int(upto[-1]) if len(v) else before
 
-def ranges_for(df: DataFrame) -> int:
-    """As many ranges as shuffles have partitions: the more data, the more of both."""
-    return max(16, shuffle_partitions(df.sparkSession))
+    more = T.StructType([*valued.schema.fields, T.StructField("__part", T.IntegerType()), T.StructField("__run", T.LongType())])
+    return cut(valued.mapInArrow(run, more))
 
 
-def running(df: DataFrame, group: str, key: str, value: Column, into: str, ties: list[str], ranges: int | None = None) -> DataFrame:
-    """Adds ``into``: the sum of ``value`` over the rows of ``group`` that stand before the row."""
-    ranges = ranges or ranges_for(df)
-    # A group that is null has a name too, so that one dealing out serves window and join.
-    named = F.coalesce(F.concat(F.lit("="), F.col(group).cast("string")), F.lit("null"))
-    df = df.select("*", named.alias("__g"), range_of(F.col(key), ranges).alias("__range"), value.alias("__value"))
-    sums = df.groupBy("__g", "__range").agg(F.sum("__value").alias("__sum"))
-    before = Window.partitionBy("__g").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select("__g", "__range", F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__offset"))
-    here = Window.partitionBy("__g", "__range").orderBy(key, *ties).rowsBetween(Window.unboundedPreceding, -1)
-    df = df.withColumn("__before", F.coalesce(F.sum("__value").over(here), F.lit(0)))
-    joined = df.join(sums, ["__g", "__range"], "left")
-    return joined.withColumn(into, (F.col("__before") + F.col("__offset")).cast("long")).drop("__g", "__range", "__value", "__before", "__offset")
+def running(df: DataFrame, group: str, keys: list[str], into: str, value: Column | None = None) -> DataFrame:
+    """Adds ``into``: the sum of ``value`` (not negative; the number, where none is given) over
+    the rows of ``group`` that stand before the row in the order of ``keys``. ``df`` is cut: its
+    rows' numbers come from its partitions."""
+    numbered = df.withColumn("__uid", F.monotonically_increasing_id())
+    rows = in_order(numbered, [F.col(c) for c in (group, *keys, "__uid")], value)
+    # A group that is null has a name too, so that the join finds it.
+    named = F.coalesce(F.concat(F.lit("="), F.col(group).cast("string")), F.lit("null")).alias("__g")
+    sums = rows.groupBy(named, "__part").agg(F.min("__run").alias("__first"), F.sum("__value").alias("__sum"))
+    before = Window.partitionBy("__g").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = cut(sums.select("__g", "__part", (F.coalesce(F.sum("__sum").over(before), F.lit(0)) - F.col("__first")).alias("__offset")))
+    joined = rows.select("*", named).join(small(offsets), ["__g", "__part"])
+    return joined.withColumn(into, (F.col("__run") + F.col("__offset")).cast("long")).drop("__g", "__part", "__value", "__run", "__offset", "__uid")

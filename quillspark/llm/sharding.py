@@ -1,7 +1,11 @@
 """Jump consistent hashing: a stable key gets its shard without a table of the ring.
 
 The law is ``key``: only doc_id and the number of shards decide. With one shard more, a
-row either stays or goes to the new shard, and the fraction 1 / (n + 1) goes.
+row either stays or goes to the new shard, and the fraction 1 / (n + 1) goes. The key is
+the 64-bit hash (XXH64, seed 42) of "1" and doc_id, of "0" alone for a null doc_id.
+
+Slots come from a range-sort by (shard, hash of the row, number of the row), so neither a
+shard nor a doc_id that a third of all rows share is numbered in one task.
 
 Defined results: a null doc_id is a key like any other; a null text has no bytes and the
 checksum of an empty one; rows that repeat get the same shard and slots of their own;
@@ -14,12 +18,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillspark.llm.ordering import key_of, running
-from quillspark.shared import text_or_empty
+from quillspark.llm.ordering import running
+from quillspark.shared import cut, text_or_empty
 
 SHARDS = 24
 # Fixed value: the multiplier of the published generator.
@@ -40,42 +44,45 @@ def jump(keys: np.ndarray, shards: int) -> np.ndarray:
     return last
 
 
-PLACE = T.StructType([T.StructField("shard", T.IntegerType()), T.StructField("grown", T.IntegerType())])
+def stable_key(doc_id: Column) -> Column:
+    return F.xxhash64(F.coalesce(F.concat(F.lit("1"), doc_id.cast("string")), F.lit("0")))
+
+
+def _places(shards: int):
+    """An Arrow function of keys: the shard among ``shards``, and among one more."""
 
+    @F.pandas_udf(T.StructType([T.StructField("shard", T.IntegerType()), T.StructField("grown", T.IntegerType())]))
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            keys = b.to_numpy(np.int64).view(np.uint64)
+            yield pd.DataFrame({"shard": jump(keys, shards).astype(np.int32), "grown": jump(keys, shards + 1).astype(np.int32)})
 
-@F.pandas_udf(PLACE)
-def _places(hexed: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-    for key, shards in hexed:
-        n = int(shards.iloc[0]) if len(shards) else 1
-        keys = np.array([int(x[:16], 16) for x in key], dtype=np.uint64)
-        yield pd.DataFrame({"shard": jump(keys, n).astype(np.int32), "grown": jump(keys, n + 1).astype(np.int32)})
+    return run
 
 
 def place(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shards: int = SHARDS) -> DataFrame:
-    """Per row: doc_id, size, text_crc32, shard, slot in the shard, and the shard if there were one more."""
+    """Per row: doc_id, size, text_crc32, law, shard, slot in the shard, and the shard if there were one more."""
     t = text_or_empty(text)
     slim = df.select(
         F.col(doc_id).alias("__doc_id"),
         (F.octet_length(t) + 8).cast("long").alias("__size"),
         F.crc32(t.cast("binary")).cast("long").alias("__crc"),
-        key_of(F.col(doc_id)).alias("__key"),
     )
-    slim = slim.withColumn("__place", _places("__key", F.lit(shards))).select("*", F.col("__place.shard").alias("__shard"), F.col("__place.grown").alias("__grown")).drop("__place")
-    # Rows that repeat a doc_id in great number are told apart by their checksum.
-    slim = slim.withColumn("__order", F.concat(F.substring("__key", 1, 7), F.md5(F.concat_ws(":", F.lit("row"), "__key", F.col("__crc").cast("string")))))
-    out = running(slim, "__shard", "__order", F.lit(1).cast("long"), "__slot", ["__doc_id", "__size"])
+    slim = slim.withColumn("__place", _places(shards)(stable_key(F.col("__doc_id")))).select("__doc_id", "__size", "__crc", "__place.*")
+    slim = cut(slim)  # texts are read once
+    out = running(slim.withColumn("__hash", F.xxhash64("__doc_id", "__crc", "__size")), "shard", ["__hash"], "slot")
     return out.select(
         F.col("__doc_id").alias("doc_id"),
         F.col("__size").alias("size"),
         F.col("__crc").alias("text_crc32"),
         F.lit("key").alias("law"),
-        F.col("__shard").alias("shard"),
-        F.col("__slot").alias("slot"),
-        F.col("__grown").alias("grown_shard"),
+        "shard",
+        "slot",
+        F.col("grown").alias("grown_shard"),
     )
 
 
 def write(df: DataFrame, path: str, doc_id: str = "doc_id", shards: int = SHARDS) -> None:
     """The rows of ``df`` as Parquet, one folder for each shard."""
-    shard = _places(key_of(F.col(doc_id)), F.lit(shards))["shard"]
+    shard = _places(shards)(stable_key(F.col(doc_id)))["shard"]
     df.withColumn("shard", shard).write.partitionBy("shard").parquet(path)
