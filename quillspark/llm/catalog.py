@@ -16,7 +16,7 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), added=True)
+    return packing.pack(table(spark, sf_dir, "documents"))
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -144,20 +144,22 @@ FROM d LEFT JOIN s USING (r) GROUP BY r, d.doc_id
 def _mixing_sql() -> str:
     last = len(mixing.WEIGHTS)
     weights = "[" + ", ".join(f"{w}.0" for w in mixing.WEIGHTS) + "]::DOUBLE[]"
-    key = f"md5('{mixing.SEED}:' || coalesce(doc_id::VARCHAR, 'null'))"
-    copies = " + ".join(f"greatest(0, least(size, round(target)::BIGINT - ({i} * source_size + ahead)))" for i in range(mixing.ROUNDS))
+    key = f"md5('{mixing.SEED}:' || coalesce(doc_id::VARCHAR, 'null') || ':' || md5(coalesce(text, '')))"
     return f"""
-WITH d AS (SELECT doc_id, source, len(list_filter(string_split_regex(coalesce(text, ''), '{_GAPS}'), lambda x: x <> ''))::BIGINT AS size, {key} AS k FROM documents),
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, len(list_filter(string_split_regex(coalesce(text, ''), '{_GAPS}'), lambda x: x <> ''))::BIGINT AS size, {key} AS k FROM documents),
 z AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
-v AS (SELECT *, ({weights})[((row_number() OVER (ORDER BY source NULLS LAST) - 1) % {last} + 1)::INT] AS weight, ({mixing.ROUNDS} * source_size)::DOUBLE AS lim FROM z),
-f AS (SELECT *, row_number() OVER o AS place, (sum(source_size) OVER ())::DOUBLE - coalesce(sum(lim) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest,
-      sum(weight) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open FROM v WINDOW o AS (ORDER BY lim / weight, source NULLS LAST)),
-c AS (SELECT rest, open FROM f WHERE rest * weight <= lim * open ORDER BY place LIMIT 1),
-t AS (SELECT f.source, source_size, least(lim, c.rest * weight / c.open) AS target FROM f, c),
-q AS (SELECT d.doc_id, d.size, t.source_size, t.target,
-      coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY k, d.doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS ahead
-      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target, ({copies})::BIGINT AS taken FROM q
+v AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS place, ({weights})[(place % {last} + 1)::INT] AS weight, ({mixing.ROUNDS} * source_size)::DOUBLE AS lim FROM z),
+f AS (SELECT *, row_number() OVER o AS turn, (sum(source_size) OVER ())::DOUBLE - coalesce(sum(lim) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest,
+      sum(weight) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open FROM v WINDOW o AS (ORDER BY lim / weight, place)),
+c AS (SELECT rest, open FROM f WHERE rest * weight <= lim * open ORDER BY turn LIMIT 1),
+t AS (SELECT f.source, place, source_size, least(lim, c.rest * weight / c.open) AS target FROM f, c),
+q AS (SELECT d.r, d.doc_id, d.size, t.place, t.source_size, t.target,
+      (sum(size) OVER (PARTITION BY d.source ORDER BY k, r ROWS UNBOUNDED PRECEDING))::BIGINT AS upto
+      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+e AS (SELECT r, size, place, i, i * source_size + upto AS upto, (i * source_size + upto) / target AS finish FROM q, (SELECT unnest(range({mixing.ROUNDS})) AS i) WHERE size > 0),
+g AS (SELECT r, size, sum(size) OVER (ORDER BY finish, place, i, upto ROWS UNBOUNDED PRECEDING) AS spent FROM e),
+n AS (SELECT r, count(*) AS times FROM g WHERE spent <= (SELECT sum(size) FROM d) GROUP BY r)
+SELECT doc_id, size, source_size, target, (size * coalesce(times, 0))::BIGINT AS taken FROM q LEFT JOIN n USING (r)
 """
 
 
