@@ -1,16 +1,20 @@
 """Best-fit packing: patterns of few documents, fitted to the histogram of lengths.
 
 A sequence holds at most CAPACITY tokens. The histogram of piece lengths has at most
-CAPACITY entries, whatever the corpus. On the driver, patterns of one to three lengths
-that fill a sequence are enumerated; non-negative least squares fits how often each is
-to be repeated so that the histogram is used up; the repeats are rounded down and, where
-lengths remain, fitted again; what then remains is packed by best fit, longest first,
-on counts. The plan (a few thousand patterns with repeats) is bounded by the number of
-lengths, not of documents.
+CAPACITY entries, whatever the corpus. On the driver, patterns are enumerated that fill a
+sequence exactly: up to three different lengths, two of which may repeat (so that short
+documents have patterns too). Non-negative least squares fits how often each pattern is to
+be repeated so that the histogram is used up; the repeats are rounded and, where lengths
+remain, fitted again, at last with patterns that leave a few tokens free. What
+then remains is packed by best fit, longest first, on counts. The plan (a few thousand
+patterns with repeats) is bounded by the number of lengths, not of documents.
 
 Each piece gets its place from its ordinal among the pieces of its length, and ordinals
-come from counts of (length, range of a hash), so a length that a third of all pieces
-share is still dealt out evenly.
+come from a range-sort by (length, hash), so a length that a third of all pieces share is
+still dealt out evenly.
+
+Ids are those of byte_bpe_50k.json as ``tokenizers`` loads it, its added token found inside
+texts. They are made from the same vocabulary's ranks, at a quarter of the time.
 
 Defined results: a null or empty text has the end token alone; rows that repeat are
 packed one by one; an empty table gives an empty table.
@@ -26,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.ordering import key_of, running
+from quillspark.llm.ordering import running
 from quillspark.shared import cut
 
 CAPACITY = 1024
@@ -35,8 +39,10 @@ END = 2
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: The added token of the tokenizers file, which it finds inside texts as it is loaded.
 ADDED = {"<|endoftext|>": 50256}
-#: Three-document patterns stand on a grid of this many tokens.
+#: Patterns of three different lengths stand on a grid of this many tokens.
 GRID = 16
+#: Tokens that the patterns of the last fit may leave free.
+SLACK = 8
 #: The pattern of the published pre-tokenizer, with possessive repeats; same pieces.
 PIECES = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
 
@@ -59,14 +65,9 @@ def encoder(vocabulary: str = VOCABULARY):
     return _encoders[vocabulary]
 
 
-def token_ids(text: str | None, vocabulary: str = VOCABULARY, added: bool = False) -> np.ndarray:
-    """The ids of a text, little-endian, with the end token; ``added`` tokens are plain text unless asked for."""
-    if not text:
-        ids = []
-    elif added:
-        ids = encoder(vocabulary).encode(text, allowed_special="all")
-    else:
-        ids = encoder(vocabulary).encode_ordinary(text)
+def token_ids(text: str | None, vocabulary: str = VOCABULARY) -> np.ndarray:
+    """The ids of a text, little-endian, with the end token."""
+    ids = encoder(vocabulary).encode(text, allowed_special="all") if text else []
     return np.array([*ids, END], dtype="<u4")
 
 
@@ -76,14 +77,14 @@ def cuts(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
     return [(0, first), *((s, capacity) for s in range(first, n, capacity))]
 
 
-def pieces(df: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, vocabulary: str = VOCABULARY, added: bool = False) -> DataFrame:
+def pieces(df: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, vocabulary: str = VOCABULARY) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): one row for each piece."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows, numbers = [], []
             for i, t in enumerate(b.column(1).to_pylist()):
-                ids = token_ids(t, vocabulary, added)
+                ids = token_ids(t, vocabulary)
                 for k, (start, n) in enumerate(cuts(len(ids), capacity)):
                     rows.append(i)
                     numbers.append((k, start, n, zlib.crc32(ids[start : start + n].tobytes())))
@@ -97,43 +98,54 @@ def pieces(df: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity:
     return df.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
-def enumerate_patterns(lengths: np.ndarray, capacity: int = CAPACITY, grid: int = GRID) -> np.ndarray:
-    """Patterns of one to three of ``lengths`` that fill a sequence; unused places are 0.
-
-    Three-document patterns have their two longer members on the grid or, for the last,
-    wherever the sum is full."""
-    have = np.zeros(capacity + 1, bool)
-    have[lengths] = True
-    out = [(capacity, 0, 0)] if have[capacity] else []
-    out += [(a, capacity - a, 0) for a in range((capacity + 1) // 2, capacity) if have[a] and have[capacity - a]]
-    on_grid = [x for x in lengths[::-1].tolist() if x % grid == 0 or len(lengths) <= capacity // grid]
+def enumerate_patterns(counts: np.ndarray, capacity: int = CAPACITY, slack: int = 0, grid: int = GRID) -> tuple[np.ndarray, np.ndarray]:
+    """(lengths, repeats), a row for each pattern with three places; unused places are 0.
+
+    ``counts`` is the histogram. Patterns of one or two lengths repeat them as often as they
+    fit (and occur); patterns of three different lengths have each once, the two longer ones
+    on the grid where there are many lengths. All leave at most ``slack`` tokens free."""
+    lengths = np.flatnonzero(counts)
+    lengths = lengths[lengths > 0]
+    # All (length, times) by what they take together.
+    runs: dict[int, list[tuple[int, int]]] = {}
+    for n in lengths.tolist():
+        for times in range(1, min(capacity // n, int(counts[n])) + 1):
+            runs.setdefault(n * times, []).append((n, times))
+    found: list[tuple[int, int, int, int, int, int]] = []
+    for full in range(capacity - slack, capacity + 1):
+        found += [(n, 0, 0, k, 0, 0) for n, k in runs.get(full, [])]
+        for taken, some in runs.items():
+            found += [(n, m, 0, k, j, 0) for n, k in some for m, j in runs.get(full - taken, []) if m < n]
+    have = counts > 0
+    on_grid = [n for n in lengths[::-1].tolist() if n % grid == 0 or len(lengths) <= capacity // grid]
     for a in on_grid:
         for b in on_grid:
             c = capacity - a - b
-            if b <= a and 0 < c <= b and have[c]:
-                out.append((a, b, c))
-    return np.array(out, np.int64).reshape(-1, 3)
+            if b < a and 0 < c < b and have[c]:
+                found.append((a, b, c, 1, 1, 1))
+    both = np.array(found, np.int64).reshape(-1, 6)
+    return both[:, :3], both[:, 3:]
 
 
-def nnls(patterns: np.ndarray, histogram: np.ndarray, rounds: int = 400) -> np.ndarray:
+def nnls(patterns: np.ndarray, times: np.ndarray, histogram: np.ndarray, rounds: int = 400) -> np.ndarray:
     """Repeats x >= 0 that minimise the squared distance of the lengths used from the
-    histogram, by accelerated projected gradients; weights make rare lengths count too."""
+    histogram, by accelerated projected gradients. Each length weighs as its tokens do, and
+    relative to its count, so that rare lengths count too."""
     if not len(patterns):
         return np.zeros(0)
     size = len(histogram)
-    weight = 1.0 / np.maximum(histogram, 1.0)
-    weight[0] = 0.0
-    flat = patterns.ravel()
+    weight = np.arange(size) / size / np.maximum(histogram, 1.0)
+    flat, often = patterns.ravel(), times.astype(float)
 
     def use(x: np.ndarray) -> np.ndarray:
-        return np.bincount(flat, np.repeat(x, 3), size)
+        return np.bincount(flat, (x[:, None] * often).ravel(), size)
 
     def slope(x: np.ndarray) -> np.ndarray:
-        return (weight * (use(x) - histogram))[patterns].sum(axis=1)
+        return ((weight * (use(x) - histogram))[patterns] * often).sum(axis=1)
 
     # A diagonal bound of the curvature: for each pattern the sum of its rows' row sums.
-    reach = weight * np.bincount(flat, np.repeat((patterns > 0).sum(axis=1).astype(float), 3), size)
-    step = 1.0 / np.maximum(reach[patterns].sum(axis=1), 1e-12)
+    reach = weight * use(often.sum(axis=1))
+    step = 1.0 / np.maximum((reach[patterns] * often).sum(axis=1), 1e-12)
     x = np.zeros(len(patterns))
     y, t = x.copy(), 1.0
     for _ in range(rounds):
@@ -144,28 +156,47 @@ def nnls(patterns: np.ndarray, histogram: np.ndarray, rounds: int = 400) -> np.n
     return x
 
 
+def fitted(left: np.ndarray, capacity: int, slack: int) -> list[tuple[tuple[int, ...], int]]:
+    """Patterns with their rounded repeats; takes what they use from ``left``.
+
+    Repeats are rounded down; then, by falling fraction, up, as long as the lengths last."""
+    patterns, times = enumerate_patterns(left, capacity, slack)
+    x = nnls(patterns, times, left.astype(float))
+    down = np.floor(x + 1e-6).astype(np.int64)
+    chosen = np.zeros(len(x), np.int64)
+
+    def take(k: int, most: int) -> None:
+        used = times[k] > 0
+        kinds, each = patterns[k][used], times[k][used]
+        n = int(min(most, (left[kinds] // each).min()))
+        left[kinds] -= n * each
+        chosen[k] += n
+
+    for k in np.argsort(-down, kind="stable"):
+        if down[k] <= 0:
+            break
+        take(k, down[k])
+    part = np.where(x > 1e-6, x - down, 0.0)
+    for k in np.argsort(-part, kind="stable"):
+        if part[k] <= 0:
+            break
+        take(k, 1)
+    return [(tuple(np.repeat(patterns[k], times[k]).tolist()), int(chosen[k])) for k in np.flatnonzero(chosen)]
+
+
 def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
     """(lengths, repeats) of all sequences; every length is used as often as it occurs."""
     left = np.zeros(capacity + 1, np.int64)
     for n, count in histogram.items():
         left[n] += count
     out: list[tuple[tuple[int, ...], int]] = []
-    for _ in range(4):
-        patterns = enumerate_patterns(np.flatnonzero(left), capacity)
-        repeats = np.floor(nnls(patterns, left.astype(float))).astype(np.int64)
-        fitted = False
-        for k in np.argsort(-repeats, kind="stable"):
-            if repeats[k] <= 0:
-                break
-            p = patterns[k][patterns[k] > 0]
-            kinds, each = np.unique(p, return_counts=True)
-            n = int(min(repeats[k], (left[kinds] // each).min()))
-            if n > 0:
-                left[kinds] -= n * each
-                out.append((tuple(p.tolist()), n))
-                fitted = True
-        if not fitted:
-            break
+    for slack in (0, 0, 0, SLACK, SLACK):
+        out += fitted(left, capacity, slack)
+    return out + best_fit(left, capacity)
+
+
+def best_fit(left: np.ndarray, capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
+    """(lengths, repeats) of what the patterns leave over."""
     # Best fit, longest first, on counts: open[room] has (lengths, how many such sequences).
     open_: dict[int, list[list]] = {}
     done: list[tuple[tuple[int, ...], int]] = []
@@ -189,7 +220,7 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tupl
             count -= times
     for kinds in open_.values():
         done += [(tuple(p), times) for p, times in kinds]
-    return out + done
+    return done
 
 
 def places(planned: list[tuple[tuple[int, ...], int]]) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -210,13 +241,13 @@ def places(planned: list[tuple[tuple[int, ...], int]]) -> dict[int, tuple[np.nda
     return out
 
 
-def pack(df: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, vocabulary: str = VOCABULARY, added: bool = False) -> DataFrame:
+def pack(df: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, vocabulary: str = VOCABULARY) -> DataFrame:
     """Per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    cut_up = cut(pieces(df, doc_id, text, capacity, vocabulary, added))  # texts are encoded once
+    cut_up = cut(pieces(df, doc_id, text, capacity, vocabulary))  # texts are encoded once
     histogram = {r["length"]: r["count"] for r in cut_up.groupBy("length").count().collect()}  # at most CAPACITY rows
     where = places(plan(histogram, capacity))
-    keyed = cut_up.withColumn("__key", key_of(F.col("doc_id"), F.col("piece"), F.col("ids_crc32")))
-    ordered = running(keyed, "length", "__key", F.lit(1).cast("long"), "__nth", ["doc_id", "piece"]).drop("__key")
+    keyed = cut_up.withColumn("__key", F.xxhash64("doc_id", "piece", "ids_crc32"))
+    ordered = running(keyed, "length", ["__key"], "__nth").drop("__key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
