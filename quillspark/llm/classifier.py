@@ -8,8 +8,9 @@ no Python. Labels, lang, source and doc_id are no inputs of a score.
 
 Defined results: a null text counts as empty; empty texts have a score too; labels that
 are null, or whose document is missing, teach nothing; with no labels, or labels of one
-kind, every score is that share (0.5 with none); rows that repeat are scored one by one;
-an empty table gives an empty table.
+kind, every score is that share (0.5 with none); of documents that share a labelled doc_id
+the one with the least statistics teaches; rows that repeat are scored one by one; an
+empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -176,11 +177,13 @@ def fit(x: np.ndarray, y: np.ndarray) -> Model:
 def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE) -> Model:
     """A model from at most ``sample`` labelled rows that aren't held out."""
     known = labels.select(F.col(doc_id).alias("__id"), F.col(label).cast("double").alias("__y")).where(F.col("__y").isNotNull() & F.col("__id").isNotNull() & ~held_out(F.col("__id")))
-    known = known.orderBy(F.md5(F.col("__id").cast("string")), "__id", "__y").limit(sample)
+    known = known.distinct().orderBy(F.md5(F.col("__id").cast("string")), "__id", "__y").limit(sample)
     some = docs.select(F.col(doc_id).alias("__doc"), F.col(text).alias("__text"))
     # The sample's rows are bounded by a parameter, so they may be sent to all executors.
     found = statistics(some.join(F.broadcast(known), F.col("__doc") == F.col("__id")), "__text")
-    rows = found.select("__id", "__y", *[f"__f_{f}" for f in FEATURES]).toPandas().sort_values(["__id", "__y", *[f"__f_{f}" for f in FEATURES]])
+    # A label whose doc_id repeats among the documents teaches one of them: at most ``sample`` rows come back.
+    one = found.groupBy("__id", "__y").agg(F.min(F.struct(*[f"__f_{f}" for f in FEATURES])).alias("x")).select("__id", "__y", "x.*")
+    rows = one.toPandas().sort_values(["__id", "__y"])
     return fit(rows[[f"__f_{f}" for f in FEATURES]].to_numpy(float), rows["__y"].to_numpy(float))
 
 

@@ -99,32 +99,41 @@ def _roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[other], nodes[root][other]
 
 
-def _collide(low: np.ndarray, fp: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links among fingerprints that share a member in the cells ``low``."""
+def _expand(low: np.ndarray, fp: np.ndarray, used: np.ndarray, m: int, to: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Fingerprints in cells of m bits, dealt on to the cells of ``to`` bits that their balls
+    reach with the flips that are left: (cell, fingerprint, flips used)."""
+    cell = np.uint64((1 << to) - 1) ^ np.uint64((1 << m) - 1)
+    lows, fps, useds = [], [], []
+    for u in range(RADIUS + 1):
+        mine = used == u
+        masks = flips(list(range(m, to)), RADIUS - u)
+        lows.append(((low[mine] | (fp[mine] & cell))[:, None] ^ masks[None, :]).ravel())
+        fps.append(np.repeat(fp[mine], len(masks)))
+        useds.append(np.tile(np.bitwise_count(masks).astype(np.int64) + u, int(mine.sum())))
+    return np.concatenate(lows), np.concatenate(fps), np.concatenate(useds)
+
+
+def _collide(low: np.ndarray, fp: np.ndarray, m: int, used: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Links among fingerprints that share a member in the cells ``low`` of m bits.
+
+    Whole cells go together up to AT_ONCE members. A larger cell is dealt on to smaller
+    ones, of more bits, in which each member is still made once."""
     cell = np.uint64((1 << m) - 1)
-    used = np.bitwise_count((fp & cell) ^ low).astype(np.int64)
+    if used is None:
+        used = np.bitwise_count((fp & cell) ^ low).astype(np.int64)
     masks = [flips(list(range(m, 64)), RADIUS - u) for u in range(RADIUS + 1)]
     sizes = np.array([len(x) for x in masks])[used]
     order = np.argsort(low, kind="stable")
     low, fp, used, sizes = low[order], fp[order], used[order], sizes[order]
     left, right = [], []
 
-    def members(at: slice, share: int = 0, shares: int = 1) -> None:
+    def members(at: slice) -> None:
         values, owners = [], []
         for u in range(RADIUS + 1):
             mine = np.flatnonzero(used[at] == u) + at.start
-            if not len(mine):
-                continue
-            step = max(1, AT_ONCE // len(masks[u]))
-            for k in range(0, len(mine), step):
-                rows = mine[k : k + step]
-                v = (((fp[rows] & ~cell) | low[rows])[:, None] ^ masks[u][None, :]).ravel()
-                o = np.repeat(fp[rows], len(masks[u]))
-                if shares > 1:
-                    hit = (v * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) % np.uint64(shares) == np.uint64(share)
-                    v, o = v[hit], o[hit]
-                values.append(v)
-                owners.append(o)
+            if len(mine):
+                values.append((((fp[mine] & ~cell) | low[mine])[:, None] ^ masks[u][None, :]).ravel())
+                owners.append(np.repeat(fp[mine], len(masks[u])))
         v, o = np.concatenate(values), np.concatenate(owners)
         s = np.sort(v)
         twice = s[1:][s[1:] == s[:-1]]
@@ -142,23 +151,36 @@ def _collide(low: np.ndarray, fp: np.ndarray, m: int) -> tuple[np.ndarray, np.nd
         left.append(a)
         right.append(b)
 
-    # Whole cells go together up to AT_ONCE members; a larger cell is taken in shares of its members.
     total = np.cumsum(sizes)
     edges = np.flatnonzero(np.append(low[1:] != low[:-1], True)) + 1
-    start = 0
+    start = begin = 0  # of the cells taken together; of the cell at hand
     for k, end in enumerate(edges):
-        before = total[start - 1] if start else 0
-        last = k == len(edges) - 1
-        if last or total[edges[k + 1] - 1] - before > AT_ONCE:
-            shares = int(-(-(total[end - 1] - before) // AT_ONCE))
-            for share in range(shares):
-                members(slice(start, end), share, shares)
+        held = int(total[end - 1] - (total[begin - 1] if begin else 0))
+        before = int(total[start - 1]) if start else 0
+        if held > AT_ONCE and m < 60:
+            if start < begin:
+                members(slice(start, begin))
+            at = slice(begin, end)
+            a, b = _collide(*_roomy(low[at], fp[at], used[at], m, held))
+            left.append(a)
+            right.append(b)
             start = end
+        elif k == len(edges) - 1 or total[edges[k + 1] - 1] - before > AT_ONCE:
+            members(slice(start, end))
+            start = end
+        begin = end
     if not left:
         return np.empty(0, np.uint64), np.empty(0, np.uint64)
     return _roots(np.concatenate(left), np.concatenate(right))
 
 
+def _roomy(low: np.ndarray, fp: np.ndarray, used: np.ndarray, m: int, held: int) -> tuple[np.ndarray, np.ndarray, int, np.ndarray]:
+    """A cell of ``held`` members in cells of so many more bits that they should hold AT_ONCE each."""
+    to = min(64, m + max(2, (held // AT_ONCE).bit_length()))
+    a, b, u = _expand(low, fp, used, m, to)
+    return a, b, to, u
+
+
 def links(distinct: DataFrame, n: int) -> DataFrame:
     """Links (a, b) of distinct fingerprints ``fp`` that connect all within 2 * RADIUS bits."""
     parts = max(shuffle_partitions(distinct.sparkSession), n * 64 // COPIES)
