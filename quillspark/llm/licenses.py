@@ -1,20 +1,25 @@
 """License scans: MinHash bands over overlapping windows find templates, shingles verify.
 
-Templates are license notices. A long template is indexed at every offset by windows of
-WINDOW shingles; documents are read in windows of the same size, STRIDE apart, so any
-copied stretch of WINDOW + STRIDE shingles holds one that is in the index. With 8 bands
-of 2 rows a window at Jaccard similarity j is found with probability 1 - (1 - j^2)^8:
-0.9997 at 0.8. Short templates are indexed by windows of one shingle, whose MinHash is
-the shingle itself, so none is missed. Each hit says which template and where; there the
-share of the template's five-word shingles that the text holds is counted exactly, on
-words, and a match needs 0.8 of them.
+A template is indexed at every offset by windows of WINDOW shingles; documents are read in
+windows of the same size, STRIDE apart, so any copied stretch of WINDOW + STRIDE shingles
+holds one that is in the index. With 8 bands of 2 rows a window at Jaccard similarity j is
+found with probability 1 - (1 - j^2)^8: 0.9997 at 0.8. Each hit says which template and
+where; there the share of the template's five-word shingles that the text holds is counted
+exactly, on words, and a match needs 0.8 of them. Where no single place has enough, as
+foreign words part the copy, the places found next to one another count together.
+
+Notices that have fewer shingles than two windows and a stride can't be met by windows. A
+rule of their own finds them: each shingle of a notice is looked up (a window of one
+shingle, whose MinHash is itself), so that none is missed; a notice of fewer than five
+words is one shingle of all its words. They are verified like other templates.
 
 Words are lower-cased letters and digits with inner dots, hyphens and apostrophes, so
 punctuation and line breaks don't matter.
 
-Defined results: a null or empty text matches nothing; rows that repeat are scanned one
-by one; an empty table gives no rows. Of matches that overlap, the one with the higher
-share stays, then the longer one, then the first by name.
+Defined results: a null or empty text matches nothing; a template without a word matches
+nothing; rows that repeat are scanned one by one; an empty table gives no rows. Of matches
+that overlap, the one of which most shingles are there stays, then the tightest, then the
+first by name.
 """
 
 from __future__ import annotations
@@ -28,35 +33,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.llm.license_texts import TEMPLATES
+
 SHINGLE, SHARE = 5, 0.8
 WINDOW, STRIDE, BANDS, ROWS = 8, 4, 8, 2
-#: Templates of fewer shingles are indexed shingle by shingle.
+#: Templates of fewer shingles are notices, looked up shingle by shingle.
 SHORT = 2 * WINDOW + STRIDE
 WORD = re.compile(rb"[a-z0-9\x80-\xff]+(?:[.\-'][a-z0-9\x80-\xff]+)*")
 PRIME = np.uint64(0x9E3779B97F4A7C15)
 
-# Public license notices.
-TEMPLATES = {
-    "MIT": "Released under the MIT License.",
-    "MIT-licensed": "Licensed under the MIT License.",
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
-    "GPL-2.0": "This work is licensed under the GNU General Public License, version 2.",
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
-    "LGPL-3.0": "This work is licensed under the GNU Lesser General Public License, version 3.",
-    "AGPL-3.0": "This work is licensed under the GNU Affero General Public License, version 3.",
-    "CC-BY-4.0": "Licensed under CC BY 4.0.",
-    "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0.",
-    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
-    "CC-BY-notice": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
-    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
-    "MIT-text": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
-    "ISC-text": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
-    "BSD-2-text": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
-    "Apache-2.0-header": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
-    "GPL-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
-    "Unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
-}
-
 
 def words(text: bytes | None) -> list[bytes]:
     return WORD.findall((text or b"").lower())
@@ -95,24 +80,27 @@ def bands(h: np.ndarray, stride: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Index:
-    """Templates by their single shingles and by the bands of their windows."""
+    """Notices by their single shingles, other templates by the bands of their windows."""
 
     def __init__(self, templates: dict[str, str]):
         self.names = sorted(templates)
         self.shingles: list[list[tuple[bytes, ...]]] = []
-        single: list[tuple[int, int, int]] = []
+        single: dict[int, list[tuple[int, int, int]]] = {}
         banded: list[tuple[int, int, int]] = []
         for t, name in enumerate(self.names):
             w = words(templates[name].encode())
             size = min(SHINGLE, len(w))
-            self.shingles.append([tuple(w[k : k + size]) for k in range(len(w) - size + 1)])
-            h = shingle_hashes(np.array([zlib.crc32(x) for x in w], np.uint32), SHINGLE)
+            self.shingles.append([tuple(w[k : k + size]) for k in range(len(w) - size + 1)] if w else [])
+            if not w:
+                continue
+            h = shingle_hashes(np.array([zlib.crc32(x) for x in w], np.uint32), size)
             if len(h) < SHORT:
-                single += [(int(x), t, k) for k, x in enumerate(h)]
+                single.setdefault(size, []).extend((int(x), t, k) for k, x in enumerate(h))
             else:
                 at, keys = bands(h, 1)
                 banded += [(int(x), t, int(k)) for k, row in zip(at, keys, strict=True) for x in row]
-        self.single, self.banded = self._table(single), self._table(banded)
+        self.single = {size: self._table(rows) for size, rows in single.items()}
+        self.banded = self._table(banded)
 
     @staticmethod
     def _table(rows: list[tuple[int, int, int]]) -> tuple[np.ndarray, dict[int, list[tuple[int, int]]]]:
@@ -129,34 +117,58 @@ class Index:
         at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
         return np.flatnonzero(known[at] == keys)
 
-    def places(self, h: np.ndarray) -> dict[int, list[tuple[int, int]]]:
-        """By shingle place: the templates found there and where in them."""
+    def places(self, codes: np.ndarray) -> dict[int, list[tuple[int, int]]]:
+        """By word place: the templates found there and where in them."""
         out: dict[int, list[tuple[int, int]]] = {}
-        for i in self._hits(h, self.single):
-            out.setdefault(int(i), []).extend(self.single[1][int(h[i])])
-        at, keys = bands(h, STRIDE)
+        for size, table in self.single.items():
+            h = shingle_hashes(codes, size)
+            for i in self._hits(h, table):
+                out.setdefault(int(i), []).extend(table[1][int(h[i])])
+        at, keys = bands(shingle_hashes(codes, SHINGLE), STRIDE)
         flat = keys.ravel()
         for i in self._hits(flat, self.banded):
             out.setdefault(int(at[i // BANDS]), []).extend(self.banded[1][int(flat[i])])
         return out
 
+    def _judge(self, w: list[bytes], t: int, lo: int, hi: int) -> tuple[float, int, int]:
+        """(share, first word, stop) of template t among the shingles from lo to hi of a text."""
+        template = self.shingles[t]
+        need, size = set(template), len(template[0])
+        here = [tuple(w[k : k + size]) for k in range(max(0, lo), max(0, lo, min(hi, len(w) - size + 1)))]
+        hit = [k for k, s in enumerate(here) if s in need]
+        if not hit:
+            return 0.0, 0, 0
+        return len({here[k] for k in hit}) / len(need), max(0, lo) + hit[0], max(0, lo) + hit[-1] + size
+
     def matches(self, w: list[bytes], found: list[tuple[int, int, int]]) -> list[tuple[str, int, int, float]]:
         """(name, first word, stop, share) of the verified matches among (place, template, offset)."""
+        begins: dict[int, set[int]] = {}
+        for place, t, offset in found:
+            begins.setdefault(t, set()).add(place - offset)
         kept: dict[tuple[int, int], tuple] = {}
-        for t, begin in sorted({(t, place - offset) for place, t, offset in found}):
-            template = self.shingles[t]
-            n, need = len(template), set(template)
-            slack = n // 4
-            lo, hi = max(0, begin - slack), begin + n + slack
-            size = len(template[0])
-            here = [tuple(w[k : k + size]) for k in range(lo, max(lo, min(hi, len(w) - size + 1)))]
-            hit = [k for k, s in enumerate(here) if s in need]
-            share = len({here[k] for k in hit}) / len(need)
-            if hit and share >= SHARE:
-                start, stop = lo + hit[0], lo + hit[-1] + size
-                kept[t, start] = max(kept.get((t, start), (0.0,)), (share, stop - start, t, start, stop))
+
+        def keep(t: int, *bounds: tuple[int, int]) -> bool:
+            share, start, stop = max((self._judge(w, t, lo, hi) for lo, hi in bounds), key=lambda m: m[0])
+            if share >= SHARE:
+                kept[t, start] = max(kept.get((t, start), (0.0, 0)), (share, start - stop, t, start, stop))
+            return share >= SHARE
+
+        for t, some in begins.items():
+            n = len(self.shingles[t])
+            slack, left = n // 4, []
+            for begin in sorted(some):
+                # As it stands, or else with room for words more and less.
+                if not keep(t, (begin, begin + n), (begin - slack, begin + n + slack)):
+                    left.append(begin)
+            # Places that fail alone and lie within a template's length of one another.
+            first = 0
+            for k in range(1, len(left) + 1):
+                if k == len(left) or left[k] - left[k - 1] > n:
+                    if k - first > 1:
+                        keep(t, (left[first] - slack, left[k - 1] + n + slack))
+                    first = k
         out, taken = [], []
-        for share, _, t, start, stop in sorted(kept.values(), key=lambda m: (-m[0], -m[1], self.names[m[2]], m[3])):
+        for share, _, t, start, stop in sorted(kept.values(), key=lambda m: (-round(m[0] * len(set(self.shingles[m[2]]))), -m[1], self.names[m[2]], m[3])):
             if all(stop <= a or start >= b for a, b in taken):
                 taken.append((start, stop))
                 out.append((self.names[t], start, stop, share))
@@ -183,7 +195,7 @@ def scan(df: DataFrame, doc_id: str = "doc_id", text: str = "text", templates: d
                 for s, w in zip(starts, texts, strict=True):
                     codes[s : s + len(w)] = np.fromiter(map(zlib.crc32, w), np.uint32, len(w))
                 found: dict[int, list[tuple[int, int, int]]] = {}
-                for place, hits in index.places(shingle_hashes(codes, SHINGLE)).items():
+                for place, hits in index.places(codes).items():
                     d = int(np.searchsorted(starts, place, side="right")) - 1
                     found.setdefault(d, []).extend((place - int(starts[d]), t, o) for t, o in hits)
                 for d, hits in sorted(found.items()):
