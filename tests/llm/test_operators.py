@@ -669,6 +669,92 @@ def test_passages_apart_in_one_chain(first, foreign, second):
     assert len(shown) <= first + second + foreign // 4 and all(x[4] >= substring.MIN_SAME for x in got)
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_alignment_against_difflib(seed):
+    """Of edited copies (words changed, left out, put in) the alignment finds nearly all that difflib finds."""
+    import difflib
+
+    r = np.random.default_rng(seed)
+    a = r.integers(0, 400, 600).astype(np.uint32)
+    b = []
+    for x in a[5:-5]:
+        dice = r.random()
+        b += [int(r.integers(400, 900))] if dice < 0.04 else [] if dice < 0.07 else [int(x), 901] if dice < 0.1 else [int(x)]
+    b = np.array([*a[:5], *b, *a[-5:]], np.uint32)
+    got = substring.matched(a, b)
+    assert all((a[x : x + n] == b[y : y + n]).all() and n > 0 for x, y, n in got)
+    assert all(x + n <= x2 and y + n <= y2 for (x, y, n), (x2, y2, _) in zip(got, got[1:], strict=False))
+    best = sum(m.size for m in difflib.SequenceMatcher(None, a.tolist(), b.tolist(), autojunk=False).get_matching_blocks())
+    assert sum(n for *_, n in got) >= 0.97 * best
+
+
+def test_alignment_of_long_texts_is_quick():
+    import time
+
+    r = np.random.default_rng(1)
+    a = (r.zipf(1.3, 120_000) % 5000).astype(np.uint32)
+    b = np.delete(a, r.integers(5, len(a) - 5, 3000))
+    began = time.perf_counter()
+    got = substring.matched(a, b)
+    assert sum(n for *_, n in got) > 0.9 * len(b) and time.perf_counter() - began < 20
+
+
+def test_passages_recall_against_brute_force(spark):
+    """Exact and edited passages of all lengths in groups of several sizes, among passages that
+    others quote in part: every pair with 50 words alike, found by trying all windows, is
+    linked (as members of one group), and most of its words are shown."""
+    r = np.random.default_rng(12)
+    texts, d, groups = {}, 0, []
+    for g in range(40):
+        n, edit = int(r.integers(50, 260)), int(r.choice([0, 40, 20, 12]))
+        p = words(3000 + g, n).split()
+        size = int(r.choice([2, 3, 5, 9]))
+        members = []
+        for _ in range(size):
+            q = [f"e{int(r.integers(1e6))}" if edit and r.random() < 1 / edit else w for w in p]
+            texts[d] = " ".join([words(4000 + d, int(r.integers(5, 80))), *q, words(5000 + d, int(r.integers(5, 80)))])
+            members.append(d)
+            d += 1
+        if g % 3 == 0:  # 25 words of it stand in two others
+            for k in range(0, n - 25, 25):
+                for _ in range(2):
+                    texts[d] = " ".join([words(6000 + d, 60), *p[k : k + 25], words(7000 + d, 60)])
+                    d += 1
+        groups.append((members, edit))
+    got = substring.passages(spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)).collect()
+    shown = defaultdict(set)
+    for x in got:
+        shown[x.doc_id] |= set(range(x.start, x.stop))
+        shown[x.other_doc_id] |= set(range(x.other_start, x.other_stop))
+    want = found = full = have = 0
+    for members, edit in groups:
+        for i in members:
+            a = texts[i].split()
+            at = defaultdict(set)
+            for k in range(len(a) - 49):
+                at[tuple(a[k : k + 50])].add(k)
+            for j in members:
+                b = texts[j].split()
+                same = {w for k in range(len(b) - 49) if j != i for w in at.get(tuple(b[k : k + 50]), ())}
+                cover = {x for k in same for x in range(k, k + 50)}
+                full, have = full + len(cover), have + len(cover & shown[i])
+            if edit in (0, 40, 20):
+                want, found = want + 1, found + bool(shown[i])
+    assert have / full >= 0.99 and found / want >= 0.9
+    plain = {i for members, _ in groups for i in members}
+    wrong = [i for i in texts if i not in plain and shown[i]]
+    assert len(wrong) <= 0.02 * len(texts)
+
+
+def test_passages_that_repeat_one_line(spark):
+    """A line over and over is a repeated passage too; rows that repeat are one document."""
+    line = "the same short line of text " * 12
+    rows_ = [(1, words(20, 30) + " " + line), (2, line + words(21, 40)), (3, words(22, 90)), (3, words(22, 90))]
+    got = substring.passages(spark.createDataFrame(rows_, "doc_id long, text string")).collect()
+    assert {frozenset((r.doc_id, r.other_doc_id)) for r in got} == {frozenset((1, 2))}
+    assert all(r.stop - r.start >= 50 for r in got)
+
+
 def test_parts_show_all_that_is_alike():
     r = np.random.default_rng(5)
     for _ in range(200):
