@@ -8,6 +8,7 @@ a folder of one machine can't be read by the others.
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,6 +39,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """As ``cut``, for tables of many rows: a Parquet table in the shared folder, which takes a
+    fraction of a checkpoint's room."""
+    at = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` (cut, of slim rows) marked for sending to all executors if it is counted to have
     at most ``rows`` rows; otherwise as it is, and joins shuffle."""
