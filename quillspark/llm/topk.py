@@ -36,13 +36,13 @@ from quillspark.shared import cut, shuffle_partitions
 
 K = 20
 SCALE = 64
-ROW_BLOCK = 2048
+ROW_BLOCK = 4096
 #: Queries that are sent to all tasks at once (of 64 components: 16 MB).
 QUERIES_AT_ONCE = 32_768
 #: Queries that are scored together, for the size of a task's matrix.
 QUERY_BLOCK = 512
 #: Bits by which one pass narrows a bin.
-PASS_BITS = 12
+PASS_BITS = 8
 LONG = np.iinfo(np.int64)
 NO_ID = LONG.max
 #: Lengths (Euclidean) up to which products of two vectors stay exact in double and in long.
@@ -203,16 +203,16 @@ def _round(candidates: DataFrame, queries: DataFrame, k: int) -> DataFrame:
                 live = (need[here] > 0)[:, None] & ~own
                 if last is not None:
                     live &= (s >> last) == bins[here][:, None]
-                b = s >> shift
-                # Below this block's own kth score no bin counts.
-                low = np.where(live, s, LONG.min)
-                most = min(int(need[here].max(initial=1)), s.shape[1])
-                kth = np.partition(low, s.shape[1] - most, axis=1)[:, s.shape[1] - most]
-                live &= b >= (kth >> shift)[:, None]
+                else:
+                    # Below this block's own kth score no bin counts.
+                    low = np.where(live, s, LONG.min)
+                    most = min(int(need[here].max(initial=1)), s.shape[1])
+                    kth = np.partition(low, s.shape[1] - most, axis=1)[:, s.shape[1] - most]
+                    live &= s >= (kth >> shift << shift)[:, None]
                 q, col = np.nonzero(live)
                 if not len(q):
                     continue
-                b = b[q, col]
+                b = s[q, col] >> shift
                 o = np.lexsort((b, q))
                 q, b = q[o], b[o]
                 new = np.flatnonzero(np.append(True, (q[1:] != q[:-1]) | (b[1:] != b[:-1])))
