@@ -1,4 +1,9 @@
-"""The queries of this subpackage and, where SQL can say the same, their SQL for DuckDB."""
+"""The queries of this subpackage and, where SQL can say the same, their SQL for DuckDB.
+
+Each reads its whole table with production parameters. What null, empty, long, equal and
+repeated rows, empty tables and clashing column names give is defined in the operator's
+module; the queries add nothing to it.
+"""
 
 from __future__ import annotations
 
@@ -12,47 +17,58 @@ from quillspark.shared import table
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every text: counts, digest and spans of the base kinds, all spans and their scores."""
     return pii.report(table(spark, sf_dir, "documents")).drop("found")
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pieces of all documents and their places in sequences of 1024 tokens."""
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words of each document the mix takes, with its source's size and target."""
     return mixing.taken(mixing.schedule(table(spark, sf_dir, "documents")))
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best rows of every row whose vec_id is divisible by 20."""
     return topk.search(table(spark, sf_dir, "embeddings"))
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdicts of every document."""
     return quality.judge(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All license matches of all documents; documents without one have no row."""
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
 def op8_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All passages that repeat across documents; documents without one have no row."""
     return substring.passages(table(spark, sf_dir, "documents"))
 
 
 def op9_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A score for every document, from rules learnt on at most SAMPLE labels."""
     docs = table(spark, sf_dir, "documents")
     return classifier.score(docs, classifier.train(docs, table(spark, sf_dir, "labels")))
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard, slot and the shard among one more of every document."""
     return sharding.place(table(spark, sf_dir, "documents"))
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The result of the five stages over documents."""
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
@@ -106,28 +122,33 @@ _PLAIN = {
 }
 _DIGITS = "regexp_replace(hit, '[^0-9]', '', 'g')"
 _LUHN = f"list_sum(list_transform(string_split({_DIGITS}, ''), lambda c, i: CASE WHEN (length({_DIGITS}) - i) % 2 = 1 THEN (c::INT * 2) % 10 + (c::INT > 4)::INT ELSE c::INT END)) % 10 = 0"
-_PLAIN_IBAN = "replace(hit, ' ', '')"
+_PLAIN_IBAN = "replace(part, ' ', '')"
 _VALUES = f"list_transform(string_split(substr({_PLAIN_IBAN}, 5) || substr({_PLAIN_IBAN}, 1, 4), ''), lambda c: CASE WHEN c BETWEEN '0' AND '9' THEN ascii(c) - 48 ELSE ascii(c) - 55 END)"
 _CHECKS = {
     "email": "true",
     "ip": r"regexp_full_match(hit, '0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})(?:\.0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})){3}')",
     "card": f"CASE WHEN length({_DIGITS}) BETWEEN 16 AND 19 THEN {_LUHN} ELSE false END",
     "phone": f"length({_DIGITS}) BETWEEN 8 AND 15",
-    "iban": f"CASE WHEN length({_PLAIN_IBAN}) BETWEEN 15 AND 34 THEN list_reduce(list_prepend(0, {_VALUES}), lambda a, v: (a * (CASE WHEN v > 9 THEN 100 ELSE 10 END) + v) % 97) = 1 ELSE false END",
+    "iban": f"CASE WHEN part IS NOT NULL THEN list_reduce(list_prepend(0, {_VALUES}), lambda a, v: (a * (CASE WHEN v > 9 THEN 100 ELSE 10 END) + v) % 97) = 1 ELSE false END",
     "ssn": "NOT regexp_matches(hit, '^(?:000|666|9)|-00-|-0000$')",
 }
+_LENGTHS = "MAP {" + ", ".join(f"'{k}': {v}" for k, v in pii.IBAN_LENGTHS.items()) + "}"
+_PARTS = {"iban": f"CASE WHEN length(replace(hit, ' ', '')) >= n_part THEN regexp_extract(hit, '^(?:[A-Z0-9] ?){{' || (n_part - 1) || '}}[A-Z0-9]') END"}
 
 
 def _pii_sql() -> str:
     parts = []
     for k, kind in enumerate(pii.KINDS):
-        near = "" if kind.base else f" AND {kind.score} + CASE WHEN regexp_matches(lower(substr(text, greatest(start - {pii.NEAR}, 0) + 1, stop - start + least(start, {pii.NEAR}) + {pii.NEAR})), '{kind.context}') THEN {kind.bonus} ELSE 0 END >= {pii.THRESHOLD}"
+        near = f"CASE WHEN regexp_matches(lower(substr(text, greatest(start - {pii.NEAR}, 0) + 1, stop - start + least(start, {pii.NEAR}) + {pii.NEAR})), '{kind.nearby()}') THEN {kind.bonus} ELSE 0 END"
+        apart = " AND CASE WHEN gap = '' THEN start = 0 ELSE NOT regexp_matches(right(gap, 1), '[A-Za-z0-9]') END" if kind.apart else ""
+        enough = "" if kind.base else f" WHERE score >= {pii.THRESHOLD}"
         parts.append(f"""
-SELECT r, {k} AS k, '{kind.name}' AS kind, start, stop FROM (
-  SELECT r, text, hits[i] AS hit, (list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda x: length(x))), 0))::BIGINT AS start, (start + length(hits[i]))::BIGINT AS stop
+SELECT * FROM (SELECT r, {k} AS k, '{kind.name}' AS kind, start, stop, {kind.score} + {near} AS score FROM (
+  SELECT *, (start + length(part))::BIGINT AS stop FROM (SELECT *, {_PARTS.get(kind.name, 'hit')} AS part FROM (
+  SELECT r, text, hits[i] AS hit, gaps[i] AS gap, ({_LENGTHS if kind.name == 'iban' else 'MAP {}'})[left(hits[i], 2)] AS n_part, (list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda x: length(x))), 0))::BIGINT AS start
   FROM (SELECT r, text, hits, gaps, unnest(range(1, len(hits) + 1)) AS i
-        FROM (SELECT r, text, regexp_extract_all(text, '{_PLAIN[kind.name]}') AS hits, string_split_regex(text, '{_PLAIN[kind.name]}') AS gaps FROM d) WHERE len(hits) > 0)
-) WHERE {_CHECKS[kind.name]}{near}""")
+        FROM (SELECT r, text, regexp_extract_all(text, '{_PLAIN[kind.name]}') AS hits, string_split_regex(text, '{_PLAIN[kind.name]}') AS gaps FROM d) WHERE len(hits) > 0)))
+) WHERE {_CHECKS[kind.name]}{apart}){enough}""")
     base = [k.name for k in pii.KINDS if k.base]
     counts = ", ".join(f"coalesce(count(*) FILTER (WHERE kind = '{b}'), 0)::BIGINT AS n_{b}" for b in base)
     said = "string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY k, start)"
@@ -136,7 +157,8 @@ WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text
 s AS ({' UNION ALL '.join(parts)})
 SELECT d.doc_id, {counts},
   sha256(coalesce({said} FILTER (WHERE kind IN ({_quoted(base)})), '')) AS base_sha256,
-  coalesce({said} FILTER (WHERE kind IS NOT NULL), '') AS spans
+  coalesce({said} FILTER (WHERE kind IS NOT NULL), '') AS spans,
+  coalesce(string_agg(score::VARCHAR, ',' ORDER BY k, start) FILTER (WHERE kind IS NOT NULL), '') AS scores
 FROM d LEFT JOIN s USING (r) GROUP BY r, d.doc_id
 """
 

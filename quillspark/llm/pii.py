@@ -5,8 +5,8 @@ non-overlapping matches of its pattern; those that fail the kind's check are dro
 and the text is not searched again inside them. Positions count code points.
 
 The four base kinds (email, ip, card, phone) always stay, whatever their score. The
-method adds two kinds: ``iban``, confirmed by mod-97, and ``ssn``, which needs a context
-word. Possessive quantifiers and ``\\G`` keep every search linear in the text's length
+method adds two kinds: ``iban``, as long as its country's numbers and confirmed by mod-97,
+and ``ssn``, which needs a context word. Possessive quantifiers and ``\\G`` keep every search linear in the text's length
 and give the same matches as the plain patterns.
 
 Defined results: a null text counts as empty; rows that repeat are searched one by one;
@@ -23,9 +23,19 @@ from pyspark.sql import functions as F
 
 from quillspark.shared import text_or_empty
 
-SPAN = "struct<kind:string,start:bigint,stop:bigint,score:double>"
+SPAN = "struct<kind:string,start:bigint,stop:bigint,score:int>"
 NEAR = 40
-THRESHOLD = 0.5
+#: Scores are percents; spans of the added kinds need so much.
+THRESHOLD = 50
+
+# The lengths of account numbers by country.
+IBAN_LENGTHS = {
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BR": 29, "CH": 21, "CR": 22, "CY": 28, "CZ": 24, "DE": 22, "DK": 18,
+    "DO": 28, "EE": 20, "EG": 29, "ES": 24, "FI": 18, "FO": 18, "FR": 27, "GB": 22, "GE": 22, "GI": 23, "GL": 18, "GR": 27, "GT": 28, "HR": 21, "HU": 28, "IE": 22,
+    "IL": 23, "IS": 26, "IT": 27, "JO": 30, "KW": 30, "KZ": 20, "LB": 28, "LI": 21, "LT": 20, "LU": 20, "LV": 21, "MC": 27, "MD": 24, "ME": 22, "MK": 19, "MR": 27,
+    "MT": 31, "MU": 30, "NL": 18, "NO": 15, "PK": 24, "PL": 28, "PS": 29, "PT": 25, "QA": 29, "RO": 24, "RS": 22, "SA": 24, "SE": 24, "SI": 19, "SK": 24, "SM": 27,
+    "TN": 24, "TR": 26, "UA": 29, "VA": 22, "VG": 24, "XK": 20,
+}
 
 
 def _luhn(digits: Column) -> Column:
@@ -50,9 +60,19 @@ def _card(hit: Column) -> Column:
     return F.when(F.length(digits).between(16, 19), _luhn(digits)).otherwise(F.lit(False))
 
 
+def _iban_part(hit: Column) -> Column:
+    """As much of a match as the country's numbers are long; null for too short ones and other countries."""
+    lengths = F.create_map(*[F.lit(x) for kv in IBAN_LENGTHS.items() for x in kv])
+    n = F.try_element_at(lengths, F.left(hit, F.lit(2)))
+    return F.when(F.length(F.translate(hit, " ", "")) >= n, F.regexp_substr(hit, F.concat(F.lit(r"^(?:[A-Z0-9]\x20?){"), (n - 1).cast("string"), F.lit("}[A-Z0-9]"))))
+
+
 def _iban(hit: Column) -> Column:
-    plain = F.translate(hit, " ", "")
-    return F.when(F.length(plain).between(15, 34), _mod97(plain)).otherwise(F.lit(False))
+    return _mod97(F.translate(hit, " ", ""))
+
+
+def _whole(hit: Column) -> Column:
+    return hit
 
 
 _PART = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})"
@@ -60,16 +80,23 @@ _PART = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})"
 
 @dataclass(frozen=True)
 class Kind:
-    """``holds``: a cheap test of the text; a text that fails it has no match."""
+    """``holds``: a cheap test of the text; a text that fails it has no match. ``part``: what of
+    a match is the span. ``apart``: no letter or digit may stand before it. ``context``: words."""
 
     name: str
     pattern: str
     holds: Callable[[Column], Column]
     check: Callable[[Column], Column]
-    score: float
+    score: int
     context: str
-    bonus: float = 0.2
+    bonus: int = 20
     base: bool = True
+    part: Callable[[Column], Column] = _whole
+    apart: bool = False
+
+    def nearby(self) -> str:
+        """The pattern of a context word in a lower-cased text."""
+        return f"(?:^|[^a-z0-9])(?:{self.context})(?:[^a-z0-9]|$)"
 
 
 KINDS = (
@@ -78,15 +105,15 @@ KINDS = (
         r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
         lambda t: F.contains(t, F.lit("@")),
         lambda h: F.lit(True),
-        0.8,
-        "mail|contact|write|kontakt|correo",
+        80,
+        "e-?mail|mail|contact|write|kontakt|correo",
     ),
     Kind(
         "ip",
         r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
         lambda t: t.rlike(r"[0-9]\.[0-9]"),
         lambda h: h.rlike(rf"^{_PART}(?:\.{_PART}){{3}}$"),
-        0.6,
+        60,
         "ip|host|server|address|adresse",
     ),
     Kind(
@@ -94,7 +121,7 @@ KINDS = (
         r"[0-9](?:[\x20-]?[0-9])++",
         lambda t: t.rlike(r"[0-9][\x20-]?[0-9]"),
         _card,
-        0.8,
+        80,
         "card|visa|credit|karte|carte|tarjeta",
     ),
     Kind(
@@ -102,7 +129,7 @@ KINDS = (
         r"\+[0-9][\x20().0-9-]+[0-9]",
         lambda t: F.contains(t, F.lit("+")),
         lambda h: F.length(F.regexp_replace(h, "[^0-9]", "")).between(8, 15),
-        0.6,
+        60,
         "phone|call|tel|fax|mobile|anruf|appel",
     ),
     Kind(
@@ -110,18 +137,21 @@ KINDS = (
         r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?",
         lambda t: t.rlike(r"[A-Z]{2}[0-9]{2}\x20?[A-Z0-9]{4}"),
         _iban,
-        0.7,
+        70,
         "iban|bank|account|konto|compte|cuenta",
         base=False,
+        part=_iban_part,
+        apart=True,
     ),
     Kind(
         "ssn",
         r"[0-9]{3}-[0-9]{2}-[0-9]{4}",
         lambda t: t.rlike(r"[0-9]{3}-[0-9]{2}-[0-9]{4}"),
         lambda h: ~h.rlike("^(?:000|666|9)|-00-|-0000$"),
-        0.3,
+        30,
         "ssn|social security|sozialversicherung",
         base=False,
+        apart=True,
     ),
 )
 
@@ -129,21 +159,24 @@ KINDS = (
 def kind_spans(kind: Kind, text: Column) -> Column:
     """The spans of one kind, by start: an array of kind, start, stop and score.
 
-    A fold over (length of the gap, match) pairs; only matches that pass stay in it.
+    A fold over (gap, match) pairs; only matches that pass stay in it.
     """
     pairs = F.zip_with(
         F.split(text, kind.pattern, -1),
         F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0)),
-        lambda gap, hit: F.struct(F.length(gap).cast("long").alias("gap"), hit.alias("hit")),
+        lambda gap, hit: F.struct(gap.alias("gap"), hit.alias("hit")),
     )
     zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(f"array<{SPAN}>").alias("out"))
 
     def step(acc: Column, pair: Column) -> Column:
-        start = acc["at"] + pair["gap"]
-        stop = start + F.coalesce(F.length(pair["hit"]), F.lit(0))
-        span = F.struct(F.lit(kind.name).alias("kind"), start.alias("start"), stop.alias("stop"), F.lit(kind.score).alias("score"))
-        good = pair["hit"].isNotNull() & F.coalesce(kind.check(pair["hit"]), F.lit(False))
-        return F.struct(stop.alias("at"), F.when(good, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
+        start = acc["at"] + F.length(pair["gap"])
+        part = kind.part(pair["hit"])
+        span = F.struct(F.lit(kind.name).alias("kind"), start.cast("long").alias("start"), (start + F.length(part)).cast("long").alias("stop"), F.lit(kind.score).alias("score"))
+        good = part.isNotNull() & F.coalesce(kind.check(part), F.lit(False))
+        if kind.apart:
+            good = good & F.when(pair["gap"] == "", start == 0).otherwise(~F.right(pair["gap"], F.lit(1)).rlike("[A-Za-z0-9]"))
+        at = start + F.coalesce(F.length(pair["hit"]), F.lit(0))
+        return F.struct(at.cast("long").alias("at"), F.when(good, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
 
     found = F.aggregate(pairs, zero, step, lambda acc: acc["out"])
     return F.when(kind.holds(text), found).otherwise(F.array().cast(f"array<{SPAN}>"))
@@ -154,7 +187,7 @@ def _scored(kind: Kind, spans: Column, text: Column) -> Column:
 
     def near(s: Column) -> Column:
         around = F.substr(text, F.greatest(s["start"] - NEAR, F.lit(0)).cast("int") + 1, (s["stop"] - s["start"] + F.least(s["start"], F.lit(NEAR)) + NEAR).cast("int"))
-        return F.lower(around).rlike(kind.context)
+        return F.lower(around).rlike(kind.nearby())
 
     out = F.transform(
         spans,
@@ -178,7 +211,8 @@ def said(spans: Column) -> Column:
 
 
 def report(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: doc_id, the number of spans of each base kind, their digest, and all spans."""
+    """Per row: doc_id, the number of spans of each base kind, their digest, all spans and, in
+    the same order, their scores: a kind's own, and more where a context word stands near."""
     f = find(df.select(F.col(doc_id).alias("__doc_id"), F.col(text).alias("__in")), "__in", "__spans")
     count = lambda k: F.size(F.filter("__spans", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
     base = [k.name for k in KINDS if k.base]
@@ -187,6 +221,7 @@ def report(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
         *[count(k) for k in base],
         F.sha2(said(F.filter("__spans", lambda s: s["kind"].isin(base))), 256).alias("base_sha256"),
         said(F.col("__spans")).alias("spans"),
+        F.array_join(F.transform("__spans", lambda s: s["score"].cast("string")), ",").alias("scores"),
         F.col("__spans").alias("found"),
     )
 

@@ -65,7 +65,7 @@ def test_pii(spark, docs, rows, nothing):
             b = base_spans(t)
             n = Counter(x.split(":")[0] for x in b)
             want.append((d, n["email"], n["ip"], n["card"], n["phone"], hashlib.sha256(",".join(b).encode()).hexdigest()))
-        assert ordered(want) == ordered(pii.report(df).drop("spans", "found").collect())
+        assert ordered(want) == ordered(pii.report(df).drop("spans", "scores", "found").collect())
     assert pii.report(nothing).count() == 0
 
 
@@ -78,6 +78,20 @@ def test_pii_added_kinds_and_masks(spark):
     assert masked[4].text == "no. 123-45-6789" and masked[4].n_chars == 6 and masked[5].text is None
 
 
+def test_pii_scores_and_bounds(spark):
+    texts = ["IBAN BE68 5390 0754 7034 PLEASE", "XBE68539007547034", "BE68539007547034X", "GB82WEST12345698765432,GB82WEST12345698765432", "a script 10.0.0.1", "the ip 10.0.0.1", "QQ68 5390 0754 7034", "ssn 1123-45-6789", "9BE68 5390 0754 7034"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = {r.doc_id: (r.spans, r.scores) for r in pii.report(df).collect()}
+    assert got == {0: ("iban:5:24", "90"), 1: ("", ""), 2: ("iban:0:16", "70"), 3: ("iban:0:22,iban:23:45", "70,70"), 4: ("ip:9:17", "60"), 5: ("ip:7:15", "80"), 6: ("", ""), 7: ("", ""), 8: ("", "")}
+
+
+def test_redact_difficult_rows(docs, rows, nothing):
+    out = pii.redact(docs)
+    assert out.columns == docs.columns and out.count() == len(rows) and pii.redact(nothing).count() == 0
+    plain = ordered(tuple(r) for r in rows if not base_spans(r[1]) and "GB82" not in (r[1] or ""))
+    assert set(map(repr, plain)) <= {repr(tuple(r)) for r in out.collect()}
+
+
 # -- packing ---------------------------------------------------------------------------
 
 
