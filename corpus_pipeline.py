@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quillspark.llm import mixing, packing, pii, quality, simhash
 from quillspark.shared import checkpoint_dir, table
+from quillspark.sources.store import Files
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,9 +55,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's result; between stages tables are written to the shared folder."""
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     at = f"{checkpoint_dir(spark).rstrip('/')}/corpus-{uuid.uuid4().hex}"
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{at}/{name}")
         docs = spark.read.parquet(f"{at}/{name}")
+        if before:
+            Files(spark).delete(f"{at}/{before}")
+        before = name
     return STAGES[-1][1](spark, docs, sf_dir)
