@@ -45,3 +45,15 @@ def test_run_is_the_stages(spark):
 @pytest.mark.parametrize("name", sorted(catalog.oracle_sql()))
 def test_sql(spark, name):
     assert differences(catalog.queries()[name](spark, SF), duck(SF), catalog.oracle_sql()[name]) == []
+
+
+@pytest.mark.parametrize("kind", ["nothing", "difficult"])
+def test_run_on_difficult_tables(spark, docs, nothing, tmp_path, kind):
+    """Nulls in every column, repeated rows, clashing column names; and a table without rows."""
+    (nothing if kind == "nothing" else docs).write.parquet(f"{tmp_path}/documents.parquet")
+    got = P.run(spark, str(tmp_path)).collect()
+    if kind == "nothing":
+        assert got == []
+    else:
+        kept = simhash.deduplicate(quality.keep(docs))
+        assert kept.columns == docs.columns and {r.doc_id for r in got} <= {r.doc_id for r in kept.collect()}
