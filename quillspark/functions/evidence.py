@@ -40,8 +40,18 @@ def gate(answerable: Column, cited: Column) -> Column:
 
 
 def hops(intent: Column) -> Column:
-    known = {"factoid": 1, "summary": 1, "comparative": 2, "temporal": 2, "analytical": 2, "multi_hop": 3}
-    return F.coalesce(F.create_map(*[F.lit(x) for kv in known.items() for x in kv])[intent], F.lit(1))
+    return F.coalesce(F.create_map(*[F.lit(x) for kv in HOPS.items() for x in kv])[intent], F.lit(1))
+
+
+def known_intent(intent: Column) -> Column:
+    """An intent's label; those that aren't known are factoid."""
+    low = F.lower(F.trim(intent))
+    return F.when(low.isin(*HOPS), low).otherwise("factoid")
+
+
+def wants_comparison(answer_type: Column, required: Column, relation: Column) -> Column:
+    """A claim about two sources and more that isn't about the order of their dates."""
+    return (answer_type == "boolean") & (required >= 2) & ~relation.isin("before", "after", "same_time")
 
 
 def graph_weight(found: Column, intent: Column, entities: Column, configured: float = 0.85) -> Column:
@@ -50,16 +60,20 @@ def graph_weight(found: Column, intent: Column, entities: Column, configured: fl
     return F.when(weak, 0.35).when(strong, 1.0).otherwise(configured)
 
 
-def route(found: Column, intent: Column, relation: Column, calculation: Column) -> Column:
+def route(found: Column, answer_type: Column, required: Column, relation: Column, calculation: Column) -> Column:
+    """Where a question's ``found`` contexts go; ``required`` counts its slots."""
     return (
         F.when(found == 0, "abstain")
-        .when(intent == "comparative", "comparison")
-        .when((intent == "temporal") & (relation != "none"), "temporal")
+        .when(wants_comparison(answer_type, required, relation), "comparison")
+        .when(relation != "none", "temporal")
         .when(calculation, "calculator")
         .otherwise("answer")
     )
 
 
+# Hops of the graph search by intent.
+HOPS = {"factoid": 1, "procedural": 1, "analytical": 2, "comparative": 2, "temporal": 2, "exploratory": 3}
+
 # Marker texts of the rule planner, in their order of evaluation.
 TEMPORAL = ("between", "before", "after", "changed", "change", "consistent", "inconsistent", "remained", "subsequent", "一致", "变化", "之前", "之后")
 BOOLEAN = ("is ", "was ", "are ", "were ", "did ", "does ", "has ", "have ")

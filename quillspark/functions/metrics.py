@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import ast
 import operator
 import re
 import unicodedata
@@ -41,7 +40,8 @@ def overlap_accuracy(a: Column, b: Column) -> Column:
 
 
 def error_rate(prediction: Column, reference: Column) -> Column:
-    """Edit distance over the reference's length; an empty reference gives 0 or 1."""
+    """Edit distance of the answers, normalised beforehand, over the reference's length; an empty
+    reference gives 0 or 1."""
     return F.when(F.length(reference) == 0, F.when(F.length(prediction) == 0, 0.0).otherwise(1.0)).otherwise(F.levenshtein(prediction, reference) / F.length(reference))
 
 
@@ -76,43 +76,75 @@ def f1_from_counts(tp: Column, fp: Column, fn: Column) -> Column:
     return F.when(2 * tp + fp + fn == 0, 1.0).otherwise(2.0 * tp / (2 * tp + fp + fn))
 
 
-OPERATIONS = {
-    ast.Add: operator.add,
-    ast.Sub: operator.sub,
-    ast.Mult: operator.mul,
-    ast.Div: operator.truediv,
-    ast.FloorDiv: operator.floordiv,
-    ast.Mod: operator.mod,
-    ast.Pow: operator.pow,
-    ast.USub: operator.neg,
-    ast.UAdd: operator.pos,
-}
+# What an expression may hold, and how tightly operators bind (the sign of a number
+# binds tighter than a product and less than a power).
+NUMBER_OR_SIGN = re.compile(r"\s*(?:(\d+(?:\.\d*)?(?:[eE][-+]?\d+)?|\.\d+(?:[eE][-+]?\d+)?)|(\*\*|//|[-+*/%()]))", re.ASCII)
+BINDING = {"+": 1, "-": 1, "*": 2, "/": 2, "//": 2, "%": 2, "sign+": 3, "sign-": 3, "**": 4}
+APPLY = {"+": operator.add, "-": operator.sub, "*": operator.mul, "/": operator.truediv, "//": operator.floordiv, "%": operator.mod, "**": operator.pow}
 
 
-def calculate(expression: str | None) -> float | None:
-    """Plain arithmetic on numbers; null for anything else, or for values beyond 1e100."""
-
-    def value(node: ast.AST) -> float:
-        if isinstance(node, ast.Constant) and type(node.value) in (int, float):
-            out = node.value
-        elif isinstance(node, ast.BinOp) and type(node.op) in OPERATIONS:
-            left, right = value(node.left), value(node.right)
-            if isinstance(node.op, ast.Pow) and abs(right) > 400:
-                raise ValueError("exponent")
-            out = OPERATIONS[type(node.op)](left, right)
-        elif isinstance(node, ast.UnaryOp) and type(node.op) in OPERATIONS:
-            out = OPERATIONS[type(node.op)](value(node.operand))
-        else:
+def _tokens(expression: str) -> list[float | int | str]:
+    out, at, text = [], 0, expression.rstrip()
+    while at < len(text):
+        m = NUMBER_OR_SIGN.match(text, at)
+        if m is None:
             raise ValueError("not arithmetic")
-        if isinstance(out, complex) or abs(out) > 1e100:
-            raise ValueError("range")
-        return out
+        out.append(m[2] if m[1] is None else (int(m[1]) if m[1].isdigit() else float(m[1])))
+        at = m.end()
+    return out
+
+
+def calculate(expression: str | None) -> float | None:
+    """Plain arithmetic on numbers; null for anything else, or for values beyond 1e100.
 
+    Two stacks: numbers wait for operators, operators for others that bind tighter."""
     if not expression or len(expression) > 200:
         return None
+    numbers: list[float | int] = []
+    waiting: list[str] = []
+
+    def apply() -> None:
+        sign = waiting.pop()
+        right = numbers.pop()
+        if sign.startswith("sign"):
+            numbers.append(-right if sign == "sign-" else right)
+        elif sign == "(" or (sign == "**" and abs(right) > 400):
+            raise ValueError("not arithmetic")
+        else:
+            numbers.append(APPLY[sign](numbers.pop(), right))
+        if isinstance(numbers[-1], complex) or abs(numbers[-1]) > 1e100:
+            raise ValueError("range")
+
     try:
-        return float(value(ast.parse(expression, mode="eval").body))
-    except (ValueError, SyntaxError, ZeroDivisionError, OverflowError, RecursionError):
+        operand = True  # whether a number is due
+        for t in _tokens(expression):
+            if not isinstance(t, str):
+                if not operand:
+                    raise ValueError("not arithmetic")
+                numbers.append(t)
+                operand = False
+            elif operand and t in "+-":
+                waiting.append("sign" + t)
+            elif operand and t == "(":
+                waiting.append(t)
+            elif operand or t == "(":
+                raise ValueError("not arithmetic")
+            elif t == ")":
+                while waiting[-1] != "(":
+                    apply()
+                waiting.pop()
+            else:
+                # Powers group from the right, all else from the left.
+                while waiting and waiting[-1] != "(" and BINDING[waiting[-1]] + (t != "**") > BINDING[t]:
+                    apply()
+                waiting.append(t)
+                operand = True
+        if operand:
+            raise ValueError("not arithmetic")
+        while waiting:
+            apply()
+        return float(numbers[0])
+    except (ValueError, ZeroDivisionError, OverflowError, IndexError):
         return None
 
 

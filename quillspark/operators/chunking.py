@@ -37,7 +37,7 @@ def with_parents(children: DataFrame, parents: DataFrame, doc_id: str, unit_id:
     """Each child with the parent window of its unit that it overlaps most, the first among equals.
 
     Windows have fixed steps, so a child can only meet parents of its own unit; the join is on the unit."""
-    p = parents.select(F.col(doc_id).alias("__d"), F.col(unit_id).alias("__u"), F.col("chunk_id").alias("parent_id"), F.col("token_start").alias("parent_token_start"), F.col("token_end").alias("parent_token_end"))
+    p = parents.select(F.col(doc_id).alias("__d"), F.col(unit_id).alias("__u"), F.col("chunk_id").alias("parent_id"), F.col("token_start").alias("parent_token_start"), F.col("token_end").alias("parent_token_end"), F.col("content").alias("parent_content"))
     meets = (F.col("token_start") < F.col("parent_token_end")) & (F.col("parent_token_start") < F.col("token_end"))
     j = children.join(p, (F.col(doc_id) == F.col("__d")) & (F.col(unit_id) == F.col("__u")) & meets, "left").drop("__d", "__u")
     shared = F.least("token_end", "parent_token_end") - F.greatest("token_start", "parent_token_start")
@@ -45,13 +45,18 @@ def with_parents(children: DataFrame, parents: DataFrame, doc_id: str, unit_id:
     return j.withColumn("__best", best).where("__best = 1").drop("__best")
 
 
-def chunk(units: DataFrame, doc_id: str = "doc_id", unit_id: str = "unit_id", content: str = "content") -> DataFrame:
-    """Children of the default sizes with ids, ordinals within the document and parents."""
+def chunk(units: DataFrame, doc_id: str = "doc_id", unit_id: str = "unit_id", content: str = "content", seq: str | None = None) -> DataFrame:
+    """Children of the default sizes with ids, ordinals within the document and parents.
+
+    ``seq`` is the units' place in the document, which their ids don't tell (page:10 stands
+    before page:2 as text, sections are hashes); without it a document has one unit."""
     keys = [doc_id, unit_id]
-    child = identified(windows(units, keys, content, DEFAULTS.child_size, DEFAULTS.child_overlap), doc_id, unit_id)
+    own = [*keys, seq] if seq else keys
+    child = identified(windows(units, own, content, DEFAULTS.child_size, DEFAULTS.child_overlap), doc_id, unit_id)
     parent = identified(windows(units, keys, content, DEFAULTS.parent_size, DEFAULTS.parent_overlap), doc_id, unit_id, "parent")
-    ordinal = F.row_number().over(Window.partitionBy(doc_id).orderBy(unit_id, "token_start")) - 1
-    return with_parents(child.withColumn("ordinal", ordinal.cast("long")), parent, doc_id, unit_id)
+    ordinal = F.row_number().over(Window.partitionBy(doc_id).orderBy(seq or unit_id, "token_start")) - 1
+    child = child.withColumn("ordinal", ordinal.cast("long"))
+    return with_parents(child.drop(seq) if seq else child, parent, doc_id, unit_id)
 
 
 def row_batches(df: DataFrame, order: list[str], line: Column, size: int = DEFAULTS.row_batch, by: list[str] | None = None) -> DataFrame:

@@ -17,13 +17,10 @@ def mean(c: Column) -> Column:
 
 def summary(records: DataFrame, mode: str, category: str, metrics: list[str], latency: str) -> DataFrame:
     """By mode and by category and mode in one pass: cases, means, p50 and p95."""
-    means = ", ".join(f"round(coalesce(avg({m}), 0), 6) AS mean_{m}" for m in metrics)
-    records.createOrReplaceTempView("__records")
-    return records.sparkSession.sql(
-        f"""SELECT {category}, {mode}, count(*) AS cases, {means},
-              round(percentile({latency}, 0.5), 6) AS p50, round(percentile({latency}, 0.95), 6) AS p95
-            FROM __records GROUP BY GROUPING SETS (({mode}), ({category}, {mode}))"""
-    )
+    m, c = F.col(mode), F.col(category)
+    numbers = [F.count("*").alias("cases"), *[F.round(mean(F.col(x)), 6).alias(f"mean_{x}") for x in metrics]]
+    numbers += [F.round(F.percentile(latency, F.lit(q)), 6).alias(n) for n, q in (("p50", 0.5), ("p95", 0.95))]
+    return records.groupingSets([[m], [c, m]], c, m).agg(*numbers)
 
 
 def binary_f1(rows: DataFrame, key: list[str], predicted: str, actual: str) -> DataFrame:

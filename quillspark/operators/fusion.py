@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,12 +33,14 @@ def merge_modalities(hits: DataFrame, question: str, chunk: str, rank: str, weig
     return by_max(f, "__rrf", question).drop("__rrf")
 
 
-def fuse_sources(hits: DataFrame, question: str, chunk: str, source: str, score: str, weights: dict[str, float]) -> DataFrame:
-    """Fuses sources: best row of each chunk in a source, ranks compacted, weighted; with
-    the set of sources. Order: score, number of sources, vector first, chunk."""
-    best = hits.groupBy(question, source, chunk).agg(F.max(score).alias("__s"))
+def fuse_sources(hits: DataFrame, question: str, chunk: str, source: str, score: str, weights: dict[str, float], weight: str | None = None) -> DataFrame:
+    """Fuses sources: best row of each chunk in a source, ranks compacted, weighted by source or,
+    where a row has one, by its column ``weight``; with the set of sources. Order: score,
+    number of sources, vector first, chunk."""
+    own = F.max(weight) if weight else F.lit(None).cast("double")
+    best = hits.groupBy(question, source, chunk).agg(F.max(score).alias("__s"), own.alias("__own"))
     rank = F.row_number().over(Window.partitionBy(question, source).orderBy(F.col("__s").desc(), chunk))
-    weight = F.create_map(*[F.lit(x) for kv in weights.items() for x in kv])[F.col(source)]
+    weight = F.coalesce("__own", F.create_map(*[F.lit(x) for kv in weights.items() for x in kv])[F.col(source)])
     f = best.withColumn("__rank", rank).groupBy(question, chunk).agg(F.sum(term(F.col("__rank"), weight)).alias("__rrf"), F.array_sort(F.collect_set(source)).alias("sources"))
     f = by_max(f, "__rrf", question).drop("__rrf")
     order = [F.col("score").desc(), F.size("sources").desc(), F.when(F.array_contains("sources", "vector"), 0).otherwise(1), F.col(chunk)]
@@ -84,60 +85,57 @@ def first_documents(ranked: DataFrame, question: str, doc: str, rank: str, k: in
     return d.withColumn("position", F.row_number().over(Window.partitionBy(question).orderBy("first_rank")).cast("long")).where(F.col("position") <= k)
 
 
+def _ranked(rows: DataFrame, question: str, fields: list[str], more: list[Column]) -> DataFrame:
+    """One row for each question: its rows as an array in rank order. A question's candidates
+    are bounded by its depth."""
+    return rows.groupBy(question).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("__rows"), *more)
+
+
 def pack_slots(candidates: DataFrame, question: str, top_k: int, cap: int = DEFAULTS.chunks_per_document) -> DataFrame:
     """Greedy packing: for each required slot the first match, of an unseen document if
     there is one; then the rest in order; at most ``cap`` of a document.
 
-    Needs columns chunk_id, doc_id, rank, slot_ids and ``required`` (slots, in order).
-    A question's candidates are bounded by its depth, so each is packed in one call."""
-
-    def pack(g: pd.DataFrame) -> pd.DataFrame:
-        rows = g.sort_values("rank").to_dict("records")
-        chosen, ids, per = [], set(), {}
-
-        def add(r: dict) -> bool:
-            if r["chunk_id"] in ids or per.get(r["doc_id"], 0) >= cap:
-                return False
-            ids.add(r["chunk_id"])
-            per[r["doc_id"]] = per.get(r["doc_id"], 0) + 1
-            chosen.append(r)
-            return True
-
-        for slot in rows[0]["required"] if rows else []:
-            match = [r for r in rows if slot in r["slot_ids"]]
-            fresh = [r for r in match if r["doc_id"] not in per]
-            any(add(r) for r in [*fresh, *match])
-            if len(chosen) >= top_k:
-                break
-        for r in rows:
-            if len(chosen) >= top_k:
-                break
-            add(r)
-        return pd.DataFrame({question: [r[question] for r in chosen], "chunk_id": [r["chunk_id"] for r in chosen], "doc_id": [r["doc_id"] for r in chosen], "position": range(1, len(chosen) + 1)})
-
-    kinds = {f.name: f.dataType.simpleString() for f in candidates.schema}
-    return candidates.groupBy(question).applyInPandas(pack, f"{question} {kinds[question]}, chunk_id {kinds['chunk_id']}, doc_id {kinds['doc_id']}, position long")
+    Needs columns chunk_id, doc_id, rank, slot_ids and ``required`` (slots, in order). Two folds
+    over a question's candidates, the first over its slots; what is packed is the state."""
+    one = _ranked(candidates, question, ["rank", "chunk_id", "doc_id", "slot_ids"], [F.first("required").alias("__slots")])
+    kind = one.schema["__rows"].dataType.simpleString()
+    rows = F.col("__rows")
+    seen = lambda done, x: F.exists(done, lambda y: y["doc_id"].eqNullSafe(x["doc_id"]))
+    fits = lambda done, x: ~F.exists(done, lambda y: y["chunk_id"] == x["chunk_id"]) & (F.size(F.filter(done, lambda y: y["doc_id"].eqNullSafe(x["doc_id"]))) < cap)
+
+    def for_slot(done: Column, slot: Column) -> Column:
+        open_ = F.filter(rows, lambda x: F.array_contains(x["slot_ids"], slot) & fits(done, x))
+        pick = F.slice(F.concat(F.filter(open_, lambda x: ~seen(done, x)), open_), 1, 1)
+        return F.when(F.size(done) < top_k, F.concat(done, pick)).otherwise(done)
+
+    def fill(done: Column, x: Column) -> Column:
+        return F.when((F.size(done) < top_k) & fits(done, x), F.concat(done, F.array(x))).otherwise(done)
+
+    none = F.array().cast(kind)
+    one = one.withColumn("__done", F.aggregate(F.coalesce("__slots", F.array().cast("array<string>")), none, for_slot))
+    one = one.withColumn("__done", F.aggregate(rows, F.col("__done"), fill))
+    packed = one.select(question, F.posexplode("__done").alias("__at", "__x"))
+    return packed.select(question, "__x.chunk_id", "__x.doc_id", (F.col("__at") + 1).cast("long").alias("position"))
 
 
 def bind_citations(contexts: DataFrame, answers: DataFrame, question: str) -> DataFrame:
     """Answers (question, required, cited) with one citation of its own for each required slot.
 
-    Contexts have chunk_id, rank and slot_ids; returns question, citation_ids, added."""
-
-    def bind(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("rank")
-        slots = dict(zip(g["chunk_id"], g["slot_ids"], strict=True))
-        ids = [x for x in dict.fromkeys(g["cited"].iloc[0]) if x in slots]
-        used, added = set(), 0
-        for slot in g["required"].iloc[0]:
-            have = next((x for x in ids if x not in used and slot in slots[x]), None)
-            have = have or next((x for x in slots if x not in used and slot in slots[x]), None)
-            if have is not None:
-                used.add(have)
-                if have not in ids:
-                    ids.append(have)
-                    added += 1
-        return pd.DataFrame({question: [g[question].iloc[0]], "citation_ids": [ids], "added": [added]})
-
-    kinds = {f.name: f.dataType.simpleString() for f in contexts.schema}
-    return contexts.join(answers, question).groupBy(question).applyInPandas(bind, f"{question} {kinds[question]}, citation_ids array<{kinds['chunk_id']}>, added long")
+    Contexts have chunk_id, rank and slot_ids; returns question, citation_ids, added. A fold over
+    the slots: (ids so far, ids that serve a slot)."""
+    one = _ranked(contexts, question, ["rank", "chunk_id", "slot_ids"], []).join(answers, question)
+    rows = F.col("__rows")
+    ids = F.transform(rows, lambda x: x["chunk_id"])
+    valid = F.array_distinct(F.filter("cited", lambda c: F.array_contains(ids, c)))
+    kind = f"array<{one.schema['__rows'].dataType.elementType['chunk_id'].dataType.simpleString()}>"
+
+    def bind(state: Column, slot: Column) -> Column:
+        serves = F.transform(F.filter(rows, lambda x: F.array_contains(x["slot_ids"], slot)), lambda x: x["chunk_id"])
+        free = F.array_except(serves, state["used"])
+        # A citation that is there already goes before the best context that isn't cited.
+        pick = F.slice(F.concat(F.filter(state["ids"], lambda c: F.array_contains(free, c)), free), 1, 1)
+        return F.struct(F.concat(state["ids"], F.array_except(pick, state["ids"])).alias("ids"), F.concat(state["used"], pick).alias("used"))
+
+    start = F.struct(valid.cast(kind).alias("ids"), F.array().cast(kind).alias("used"))
+    one = one.withColumn("__bound", F.aggregate("required", start, bind, lambda x: x["ids"]))
+    return one.select(question, F.col("__bound").alias("citation_ids"), (F.size("__bound") - F.size(valid)).cast("long").alias("added"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions.text import entity_key, word_set
+from quillspark.shared import cut
 
 
 def upsert_entities(rows: DataFrame, name: str = "name", kind: str = "type", description: str = "description", seq: str = "seq") -> DataFrame:
@@ -50,30 +51,47 @@ def neighbours(frontier: DataFrame, related: DataFrame, visited: DataFrame, limi
     return n.withColumn("__r", rank).where(F.col("__r") <= limit).drop("__r")
 
 
-def bounded_bfs(start: DataFrame, related: DataFrame, mentions: DataFrame, hops: int, limit: int) -> DataFrame:
+def bounded_bfs(start: DataFrame, related: DataFrame, mentions: DataFrame, hops: int, limit: int, own: str | None = None) -> DataFrame:
     """Chunks within ``hops`` (3 at most) of the starting keys: (question_id, chunk_id, hops,
     entities, matched), the first depth wins, at most ``limit`` for each question; a level may
-    spend what is left of the limit on chunks already found."""
+    spend what is left of the limit on chunks already found. ``own`` is a column of ``start``
+    with the hops of each question, if they differ.
+
+    Frontier and found rows are cut at each level, so a level reads what the last one left.
+    ``related`` and ``mentions`` (key, chunk_id, each pair once) are read once a level; hand
+    them over cut."""
     cap = max(20 * limit, 200)
-    frontier = start.select("question_id", "key").distinct()
-    visited, found = frontier, None
+    far = [F.col(own).alias("__far")] if own else [F.lit(hops).alias("__far")]
+    frontier = cut(start.select("question_id", "key", *far).distinct())
+    reach = cut(frontier.groupBy("question_id").agg(F.max("__far").alias("__far")))
+    visited, found = frontier.select("question_id", "key"), None
     for depth in range(min(max(hops, 0), 3) + 1):
-        level = frontier.join(mentions, "key").groupBy("question_id", "chunk_id").agg(F.array_sort(F.collect_set("key")).alias("entities"))
-        level = level.withColumn("matched", F.size("entities").cast("long")).withColumn("hops", F.lit(depth).cast("long"))
+        # Chunks are counted and ranked first; which entities they have is looked up for those that stay.
+        asked = frontier.select("question_id", "key")
+        level = asked.join(mentions, "key").groupBy("question_id", "chunk_id").agg(F.count("*").alias("matched"))
         order = F.row_number().over(Window.partitionBy("question_id").orderBy(F.col("matched").desc(), "chunk_id"))
-        level = level.withColumn("__r", order)
+        level = level.withColumn("__r", order).where(F.col("__r") <= limit)
         if found is None:
-            found = level.where(F.col("__r") <= limit).drop("__r")
+            found = cut(_named(level.drop("__r"), asked, mentions, depth))
         else:
             have = found.groupBy("question_id").agg(F.count("*").alias("__have"))
             level = level.join(have, "question_id", "left").where(F.col("__r") <= limit - F.coalesce("__have", F.lit(0))).drop("__r", "__have")
-            found = found.unionByName(level.join(found.select("question_id", "chunk_id"), ["question_id", "chunk_id"], "left_anti"))
+            fresh = level.join(found.select("question_id", "chunk_id"), ["question_id", "chunk_id"], "left_anti")
+            found = cut(found.unionByName(_named(cut(fresh), asked, mentions, depth)))
         if depth < hops:
-            frontier = neighbours(frontier, related, visited, cap).select("question_id", "key")
-            visited = visited.unionByName(frontier)
+            on = frontier.join(reach.where(F.col("__far") > depth).select("question_id"), "question_id", "left_semi")
+            frontier = cut(neighbours(on, related, visited, cap).select("question_id", "key"))
+            visited = cut(visited.unionByName(frontier))
     return found
 
 
+def _named(level: DataFrame, frontier: DataFrame, mentions: DataFrame, depth: int) -> DataFrame:
+    """A level's chunks with the entities of the frontier that they mention."""
+    keys = level.select("question_id", "chunk_id").join(mentions, "chunk_id").join(frontier, ["question_id", "key"], "left_semi")
+    keys = keys.groupBy("question_id", "chunk_id").agg(F.array_sort(F.collect_set("key")).alias("entities"))
+    return level.join(keys, ["question_id", "chunk_id"]).select("question_id", "chunk_id", "entities", "matched", F.lit(depth).cast("long").alias("hops"))
+
+
 def graph_score(hits: DataFrame, query: str, content: str) -> DataFrame:
     """Adds score: clip(0.5 + 0.1 matched - 0.1 hops) weighted 0.7, and the share of query words (over two letters) found, 0.3."""
     asked = F.filter(word_set(F.col(query)), lambda x: F.length(x) > 2)

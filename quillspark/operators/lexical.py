@@ -2,9 +2,18 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspark.operators.vectors import by_id, first_k
+from quillspark.shared import cut
+
 K1, B = 1.2, 0.75
 TERM = r"[a-z0-9]+"
 
@@ -21,6 +30,24 @@ def postings(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return t.groupBy("term", "doc_id").agg(F.count("*").alias("tf"), F.max("len").alias("len"))
 
 
+def bm25_stored(post: DataFrame, sizes: DataFrame, questions: DataFrame, question_id: str, question: str) -> DataFrame:
+    """(question_id, doc_id, bm25) from a stored index: postings (term, doc_id, tf, len) and
+    the sizes (doc_id, len) of all documents. Only the questions' terms are read of it."""
+    stats = sizes.agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_len"))
+    asked = questions.select(F.col(question_id).alias("question_id"), F.explode(F.array_distinct(terms(F.col(question)))).alias("term"))
+    return _scored(asked, post.join(asked.select("term").distinct(), "term", "left_semi"), stats)
+
+
+def _scored(asked: DataFrame, post: DataFrame, stats: DataFrame, restrict: Column | None = None) -> DataFrame:
+    df = post.groupBy("term").agg(F.count("*").alias("df"))
+    if restrict is not None:
+        post = post.where(restrict)
+    idf = F.greatest(F.lit(1e-6), F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
+    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
+    scored = asked.join(df, "term").join(post, "term").crossJoin(F.broadcast(stats))  # stats is one row
+    return scored.groupBy("question_id", "doc_id").agg(F.round(F.sum(part), 6).alias("bm25"))
+
+
 def bm25(docs: DataFrame, questions: DataFrame, doc_id: str = "doc_id", text: str = "text", question_id: str = "item_id", question: str = "text", restrict: Column | None = None) -> DataFrame:
     """(question_id, doc_id, bm25): matches of any term. Statistics cover all documents;
     ``restrict`` filters matches only.
@@ -33,13 +60,68 @@ def bm25(docs: DataFrame, questions: DataFrame, doc_id: str = "doc_id", text: st
     vocabulary = asked.select("term").distinct()
     hits = d.select("doc_id", "len", F.explode("__t").alias("term")).join(vocabulary, "term", "left_semi")
     post = hits.groupBy("term", "doc_id").agg(F.count("*").alias("tf"), F.max("len").alias("len"))
-    df = post.groupBy("term").agg(F.count("*").alias("df"))
-    if restrict is not None:
-        post = post.where(restrict)
-    idf = F.greatest(F.lit(1e-6), F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
-    scored = asked.join(df, "term").join(post, "term").crossJoin(F.broadcast(stats))  # stats is one row
-    return scored.groupBy("question_id", "doc_id").agg(F.round(F.sum(part), 6).alias("bm25"))
+    return _scored(asked, post, stats, restrict)
+
+
+#: Questions whose terms are sent to all tasks at once.
+QUESTIONS_AT_ONCE = 500
+
+
+def bm25_top(docs: DataFrame, questions: DataFrame, k: int, doc_id: str = "doc_id", text: str = "text", question_id: str = "item_id", question: str = "text", restrict: Column | None = None) -> DataFrame:
+    """The best matches of ``bm25``, k for each question and batch of a task at most, and so the
+    k best of all; the same scores, never a row for each pair of question and document.
+
+    Document frequencies come first, as one shuffle of the questions' terms. Then each task
+    scores its documents against a block of questions, bounded in number, as a product of
+    term weights. Ties go to the smaller id."""
+    t = terms(F.col(text))
+    asked = cut(questions.select(F.col(question_id).alias("question_id"), F.array_distinct(terms(F.col(question))).alias("toks")))
+    vocabulary = asked.select(F.explode("toks").alias("term")).distinct()
+    stats = docs.agg(F.count("*").alias("n"), F.avg(F.size(t)).alias("length")).first()
+    seen = docs.select(F.explode(F.array_distinct(t)).alias("term")).join(vocabulary, "term", "left_semi")
+    df = cut(seen.groupBy("term").agg(F.count("*").alias("df")))
+    kind = docs.schema[doc_id].dataType.simpleString()
+    q_kind = asked.schema["question_id"].dataType.simpleString()
+    kept = F.coalesce(restrict, F.lit(False)) if restrict is not None else F.lit(True)
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.lower(F.coalesce(F.col(text), F.lit(""))).alias("low"), kept.alias("kept"))
+    n = asked.count()
+    blocks = max(1, -(-n // QUESTIONS_AT_ONCE))
+    out = None
+    for i in range(blocks):
+        block = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("question_id"), F.lit(blocks)) == i)
+        some = block.toArrow()  # a bounded number
+        words = block.select(F.explode("toks").alias("term")).distinct().join(df, "term").orderBy("term").toArrow()  # theirs
+        place = {w: j for j, w in enumerate(words.column("term").to_pylist())}
+        count = words.column("df").to_numpy().astype(float)
+        idf = np.maximum(1e-6, np.log((stats["n"] - count + 0.5) / (count + 0.5)))
+        weight = np.zeros((len(place), some.num_rows))
+        for j, toks in enumerate(some.column("toks").to_pylist()):
+            at = [place[w] for w in toks or [] if w in place]
+            weight[at, j] = idf[at]
+        held = docs.sparkSession.sparkContext.broadcast((some.column("question_id").combine_chunks(), place, weight, float(stats["length"] or 1.0)))
+
+        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            ids, place, weight, mean = held.value
+            find = re.compile(TERM).findall
+            for whole in batches:
+                for start in range(0, whole.num_rows, 1000):
+                    b = whole.slice(start, 1000)
+                    s = np.zeros((len(ids), b.num_rows))
+                    for j, (low, kept) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)):
+                        found = find(low) if kept else []
+                        tf = Counter(w for w in found if w in place)
+                        if tf:
+                            at, times = [place[w] for w in tf], np.fromiter(tf.values(), float, len(tf))
+                            s[:, j] = (times * (K1 + 1) / (times + K1 * (1 - B + B * len(found) / mean))) @ weight[at]
+                    s = np.round(s, 6)
+                    x, y = first_k(s, by_id(b.column(0)), k)
+                    good = s[x, y] > 0
+                    x, y = x[good], y[good]
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(x)), b.column(0).take(pa.array(y)), pa.array(s[x, y])], names=["question_id", "doc_id", "bm25"])
+
+        part = cut(rows.mapInArrow(run, f"question_id {q_kind}, doc_id {kind}, bm25 double"))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def top(scored: DataFrame, key: str, order: list[Column], k: int) -> DataFrame:
@@ -48,14 +130,38 @@ def top(scored: DataFrame, key: str, order: list[Column], k: int) -> DataFrame:
     return scored.withColumn("rank", rank.cast("long")).where(F.col("rank") <= k)
 
 
-def occurrences(tokens: Column, low: Column) -> Column:
-    """How often each token stands in a lower-cased text. ``low`` is a column made
-    beforehand: lambdas evaluate what they hold for every token."""
-    return F.transform(tokens, lambda t: ((F.octet_length(low) - F.octet_length(F.replace(low, t, F.lit("")))) / F.octet_length(t)).cast("long"))
-
-
-def fallback_score(counts: Column) -> tuple[Column, Column]:
-    """(matched tokens, score): the share of tokens found plus a hundredth for each of ten occurrences."""
-    matched = F.size(F.filter(counts, lambda n: n > 0))
-    often = F.aggregate(counts, F.lit(0).cast("long"), lambda a, x: a + x)
-    return matched.cast("long"), matched / F.size(counts) + F.least(often, F.lit(10)) / 100
+#: Different words of questions that are searched for in one pass over the texts.
+WORDS_AT_ONCE = 1000
+
+
+def fallback(docs: DataFrame, questions: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(question_id, doc_id, matched, score) of documents that hold any of a question's ``toks``,
+    as parts of words too: the share of tokens found plus a hundredth for each of ten occurrences.
+
+    A text is searched once for each different token, of all questions together, in blocks of a
+    bounded number; only occurrences leave the scan, and they meet the questions by token."""
+    asked = cut(questions.select("question_id", F.size("toks").alias("n"), F.explode("toks").alias("tok")))
+    tokens = cut(asked.select("tok").distinct())
+    n = tokens.count()
+    blocks = max(1, -(-n // WORDS_AT_ONCE))
+    found = None
+    for k in range(blocks):
+        some = [r[0] for r in (tokens if blocks == 1 else tokens.where(F.pmod(F.xxhash64("tok"), F.lit(blocks)) == k)).collect()]  # a bounded number
+        held = docs.sparkSession.sparkContext.broadcast([t for t in sorted(some) if t])
+
+        def count(batches, held=held):
+            for b in batches:
+                rows, words, times = [], [], []
+                for i, t in enumerate(b.column(1).to_pylist()):
+                    for w in held.value:
+                        if w in t:
+                            rows.append(i)
+                            words.append(w)
+                            times.append(t.count(w))
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows, pa.int64())), pa.array(words, pa.string()), pa.array(times, pa.int64())], names=["doc_id", "tok", "times"])
+
+        kind = docs.schema[doc_id].dataType.simpleString()
+        part = docs.select(F.col(doc_id).alias("doc_id"), F.lower(F.coalesce(F.col(text), F.lit(""))).alias("low")).mapInArrow(count, f"doc_id {kind}, tok string, times long")
+        found = part if found is None else found.unionByName(part)
+    hits = found.join(asked, "tok").groupBy("question_id", "doc_id").agg(F.count("*").alias("matched"), F.sum("times").alias("__often"), F.first("n").alias("__n"))
+    return hits.select("question_id", "doc_id", "matched", (F.col("matched") / F.col("__n") + F.least("__often", F.lit(10)) / 100).alias("score"))

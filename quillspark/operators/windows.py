@@ -6,10 +6,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def context_windows(chunks: DataFrame, doc: str, ordinal: str, content: str, neighbours: int = 1, most: int = 8000) -> DataFrame:
-    """Adds ``window``: the chunk with its neighbours, each text once, parted by blank lines, cut to ``most``."""
+def context_windows(chunks: DataFrame, doc: str, ordinal: str, content: str, neighbours: int = 1, most: int = 8000, unit: str | None = None, parent: str | None = None) -> DataFrame:
+    """Adds ``window``: the text of the parent, then the chunk with its neighbours in the document
+    that are of the same unit, each text once, parted by blank lines, cut to ``most``."""
     near = Window.partitionBy(doc).orderBy(ordinal).rowsBetween(-neighbours, neighbours)
-    return chunks.withColumn("window", F.left(F.array_join(F.array_distinct(F.collect_list(content).over(near)), "\n\n"), F.lit(most)))
+    u = F.col(unit) if unit else F.lit("")
+    around = chunks.withColumn("__near", F.collect_list(F.struct(u.alias("u"), F.col(content).alias("c"))).over(near))
+    same = F.transform(F.filter("__near", lambda x: x["u"].eqNullSafe(u) | (u == "")), lambda x: x["c"])
+    texts = F.concat(F.array(F.coalesce(F.col(parent) if parent else F.lit(""), F.lit(""))), same)
+    # A blank text is no part; the ends of texts are stripped.
+    texts = F.array_distinct(F.filter(F.transform(texts, lambda t: F.regexp_replace(t, r"(?U)^\s+|\s+$", "")), lambda t: t != ""))
+    return around.withColumn("window", F.left(F.array_join(texts, "\n\n"), F.lit(most))).drop("__near")
 
 
 def char_budget(ranked: DataFrame, question: str, rank: str, content: str, budget: int) -> DataFrame:

@@ -8,7 +8,7 @@ from quillspark.functions import text as T
 from quillspark.operators import chunking, windows
 from quillspark.plans.registry import query
 from quillspark.settings import DEFAULTS as S
-from quillspark.shared import table
+from quillspark.shared import spread, table
 from quillspark.sources import documents as sources
 
 _W = r"list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')"
@@ -29,7 +29,7 @@ def _ids_sql(size: int, overlap: int, marker: str = "") -> str:
 
 
 def _units(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.lit("document:1").alias("unit_id"), F.col("text").alias("content"))
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.lit("document:1").alias("unit_id"), F.col("text").alias("content"))
 
 
 @query(f"SELECT doc_id, token_start, token_end, content FROM {_windows_sql(S.child_size, S.child_overlap)}")
@@ -151,7 +151,7 @@ def json_leaf_paths(spark, sf_dir):
 
 @query()
 def html_units(spark, sf_dir):
-    return sources.page_units(table(spark, sf_dir, "pages"), "page_id", "html")
+    return sources.page_units(spread(table(spark, sf_dir, "pages")), "page_id", "html")
 
 
 @query("SELECT doc_id, sha256(text) AS file_hash, CASE WHEN doc_id % 3 = 0 THEN '' ELSE sha256(text) END AS observed_hash FROM documents")
@@ -161,12 +161,29 @@ def content_hash(spark, sf_dir):
 
 
 @query(
-    """WITH c AS (SELECT conv_id, turn, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations),
-w AS (SELECT a.conv_id, a.turn, b.text, min(b.i) AS i FROM c a JOIN c b ON a.conv_id = b.conv_id AND b.i BETWEEN a.i - 1 AND a.i + 1 GROUP BY a.conv_id, a.turn, b.text)
+    r"""WITH c AS (SELECT conv_id, turn, role, regexp_replace(text, '^\s+|\s+$', '', 'g') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i,
+   regexp_replace('parent of ' || role, '^\s+|\s+$', '', 'g') AS parent FROM conversations),
+w AS (SELECT conv_id, turn, text, min(i) AS i FROM (SELECT conv_id, turn, parent AS text, 0 AS i FROM c
+   UNION ALL SELECT a.conv_id, a.turn, b.text, b.i FROM c a JOIN c b ON a.conv_id = b.conv_id AND b.i BETWEEN a.i - 1 AND a.i + 1 AND b.role = a.role) WHERE text <> '' GROUP BY conv_id, turn, text)
 SELECT conv_id, turn, left(string_agg(text, chr(10) || chr(10) ORDER BY i), 8000) AS "window" FROM w GROUP BY conv_id, turn"""
 )
 def context_windows(spark, sf_dir):
-    return windows.context_windows(table(spark, sf_dir, "conversations"), "conv_id", "turn", "text").select("conv_id", "turn", "window")
+    """Turns as chunks, roles as units: neighbours of another role are left out."""
+    c = table(spark, sf_dir, "conversations").withColumn("parent", F.concat(F.lit("parent of "), "role"))
+    return windows.context_windows(c, "conv_id", "turn", "text", unit="role", parent="parent").select("conv_id", "turn", "window")
+
+
+@query(
+    f"""WITH p AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, unnest(range(len(string_split(text, chr(10))))) AS seq FROM documents),
+w AS (SELECT doc_id, seq, {_W} AS w FROM p),
+s AS (SELECT doc_id, seq, unnest(range(0, (ceil(greatest(len(w) - {S.child_size}, 0) / {S.child_size - S.child_overlap}::DOUBLE) * {S.child_size - S.child_overlap})::BIGINT + 1, {S.child_size - S.child_overlap})) AS token_start FROM w WHERE len(w) > 0)
+SELECT doc_id, 'line:' || (seq + 1) AS unit_id, token_start, (row_number() OVER (PARTITION BY doc_id ORDER BY seq, token_start) - 1)::BIGINT AS ordinal FROM s"""
+)
+def chunk_ordinals(spark, sf_dir):
+    """Each line a unit: line:10 comes after line:2."""
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.posexplode(F.split("text", "\n")).alias("seq", "content"))
+    u = d.withColumn("unit_id", F.concat(F.lit("line:"), (F.col("seq") + 1).cast("string")))
+    return chunking.chunk(u, seq="seq").select("doc_id", "unit_id", "token_start", "ordinal")
 
 
 @query(

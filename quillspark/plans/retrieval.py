@@ -7,21 +7,22 @@ from pyspark.sql import functions as F
 from quillspark.operators import fusion, lexical, vectors
 from quillspark.plans.registry import query
 from quillspark.settings import DEFAULTS as S
-from quillspark.shared import cut, table
+from quillspark.shared import cut, spread, table
 
-ASKED = "item_id < 10"
+#: The questions: all texts of benchmark; of the embeddings every fiftieth row.
+ASKED_VECTORS = "vec_id % 50 = 0"
 _T = "regexp_extract_all(lower(text), '[a-z0-9]+')"
 
 BM25 = f"""d AS (SELECT doc_id, {_T} AS t, len({_T}) AS n FROM documents),
 st AS (SELECT count(*)::DOUBLE AS nd, avg(n) AS al FROM d),
 p AS (SELECT doc_id, term, count(*) AS tf, max(n) AS n FROM (SELECT doc_id, n, unnest(t) AS term FROM d) GROUP BY doc_id, term),
 df AS (SELECT term, count(*) AS df FROM p GROUP BY term),
-q AS (SELECT DISTINCT item_id AS question_id, unnest({_T}) AS term FROM benchmark WHERE {ASKED}),
+q AS (SELECT DISTINCT item_id AS question_id, unnest({_T}) AS term FROM benchmark),
 bm AS (SELECT q.question_id, p.doc_id, round(sum(greatest(1e-6::DOUBLE, ln((nd - df + 0.5) / (df + 0.5))) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * n / al))), 6) AS bm25
   FROM q JOIN df USING (term) JOIN p USING (term), st GROUP BY q.question_id, p.doc_id)"""
 LEX = f"lx AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY bm25 DESC, doc_id) AS rank FROM bm) WHERE rank <= {S.candidate_depth})"
 _SIM = "round(greatest(0::DOUBLE, least(1::DOUBLE, list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]))), 6)"
-DENSE = f"""sm AS (SELECT q.vec_id AS question_id, v.vec_id, v.label, {_SIM} AS similarity FROM embeddings v, embeddings q WHERE q.vec_id < 10),
+DENSE = f"""sm AS (SELECT q.vec_id AS question_id, v.vec_id, v.label, {_SIM} AS similarity FROM embeddings v, embeddings q WHERE q.{ASKED_VECTORS}),
 dn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY similarity DESC, vec_id) AS rank FROM sm) WHERE rank <= {S.candidate_depth})"""
 
 
@@ -31,24 +32,25 @@ def _said(df, column):
 
 
 def _asked(spark, sf_dir):
-    return table(spark, sf_dir, "benchmark").where(ASKED)
+    return table(spark, sf_dir, "benchmark")
 
 
-def _bm25(spark, sf_dir, restrict=None):
-    return lexical.bm25(table(spark, sf_dir, "documents"), _asked(spark, sf_dir), restrict=restrict)
+def _bm25(spark, sf_dir, k, restrict=None):
+    return lexical.bm25_top(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), _asked(spark, sf_dir), k, restrict=restrict)
 
 
 def _lexical(spark, sf_dir):
-    return lexical.top(_bm25(spark, sf_dir), "question_id", [F.col("bm25").desc(), F.col("doc_id")], S.candidate_depth)
+    return lexical.top(_bm25(spark, sf_dir, S.candidate_depth), "question_id", [F.col("bm25").desc(), F.col("doc_id")], S.candidate_depth)
 
 
-def _similar(spark, sf_dir):
+def _nearest(spark, sf_dir, k, by=None):
     e = table(spark, sf_dir, "embeddings")
-    return vectors.similar(e, e.where("vec_id < 10").select(F.col("vec_id").alias("question_id"), F.col("embedding").alias("vector")))
+    q = e.where(ASKED_VECTORS).select(F.col("vec_id").alias("question_id"), F.col("embedding").alias("vector"))
+    return vectors.nearest(e.withColumn("modality", F.col("label") % 3), q, k, by=by)
 
 
 def _dense(spark, sf_dir):
-    return lexical.top(_similar(spark, sf_dir), "question_id", [F.col("similarity").desc(), F.col("vec_id")], S.candidate_depth)
+    return lexical.top(_nearest(spark, sf_dir, S.candidate_depth), "question_id", [F.col("similarity").desc(), F.col("vec_id")], S.candidate_depth)
 
 
 @query(f"WITH {BM25}, {LEX} SELECT question_id, doc_id, bm25, rank, round(1 / (1 + abs(bm25)), 6) AS score FROM lx")
@@ -60,13 +62,12 @@ def bm25_topk(spark, sf_dir):
 @query(f"WITH {BM25} SELECT * FROM (SELECT question_id, doc_id, bm25, row_number() OVER (PARTITION BY question_id ORDER BY bm25 DESC, doc_id) AS rank FROM bm WHERE doc_id % 2 = 0) WHERE rank <= 10")
 def bm25_doc_filter(spark, sf_dir):
     """The filter reaches matches, not the statistics."""
-    return lexical.top(_bm25(spark, sf_dir, F.col("doc_id") % 2 == 0), "question_id", [F.col("bm25").desc(), F.col("doc_id")], 10).select("question_id", "doc_id", "bm25", "rank")
+    return lexical.top(_bm25(spark, sf_dir, 10, F.col("doc_id") % 2 == 0), "question_id", [F.col("bm25").desc(), F.col("doc_id")], 10).select("question_id", "doc_id", "bm25", "rank")
 
 
 @query(
-    """WITH q AS (SELECT item_id AS question_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9_][a-z0-9_.-]*'))[1:32] AS toks FROM benchmark WHERE item_id < 5),
-q2 AS (SELECT item_id AS question_id, f FROM (SELECT item_id, regexp_extract_all(lower(text), '[a-z0-9_][a-z0-9_.-]*') AS f FROM benchmark WHERE item_id < 5)),
-u AS (SELECT question_id, tok, min(i) AS i FROM (SELECT question_id, unnest(f) AS tok, unnest(range(1, len(f) + 1)) AS i FROM q2) GROUP BY ALL),
+    f"""WITH q AS (SELECT item_id AS question_id, regexp_extract_all(lower(text), '[a-z0-9_][a-z0-9_.-]*') AS f FROM benchmark),
+u AS (SELECT question_id, tok, min(i) AS i FROM (SELECT question_id, unnest(f) AS tok, unnest(range(1, len(f) + 1)) AS i FROM q) GROUP BY ALL),
 t AS (SELECT question_id, tok FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY i) AS n FROM u) WHERE n <= 32),
 m AS (SELECT question_id, doc_id, count(*) AS n, count(*) FILTER (WHERE contains(lower(text), tok)) AS matched,
    sum(((length(lower(text)) - length(replace(lower(text), tok, ''))) // length(tok))) AS freq FROM t, documents GROUP BY question_id, doc_id),
@@ -74,16 +75,12 @@ s AS (SELECT question_id, doc_id, matched, round(matched / n::DOUBLE + least(fre
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, doc_id) AS rank FROM s) WHERE rank <= 40"""
 )
 def lexical_fallback_topk(spark, sf_dir):
-    """Without an index: the questions stand in one small, bounded table."""
+    """Without an index: each text is searched once for each word that any question has."""
     from quillspark.functions.text import lexical_tokens
 
-    q = table(spark, sf_dir, "benchmark").where("item_id < 5").select(F.col("item_id").alias("question_id"), lexical_tokens(F.col("text")).alias("toks"))
-    # Columns that aren't deterministic keep each projection apart, so that nothing is made twice.
-    hold = F.monotonically_increasing_id()
-    d = table(spark, sf_dir, "documents").select("doc_id", F.lower("text").alias("low"), hold.alias("hold")).crossJoin(F.broadcast(q)).where("hold >= 0")
-    d = d.select("question_id", "doc_id", lexical.occurrences(F.col("toks"), F.col("low")).alias("counts"), hold.alias("held")).where("held >= 0")
-    matched, score = lexical.fallback_score(F.col("counts"))
-    s = d.select("question_id", "doc_id", matched.alias("matched"), F.round(score, 6).alias("score")).where("matched > 0")
+    q = _asked(spark, sf_dir).select(F.col("item_id").alias("question_id"), lexical_tokens(F.col("text")).alias("toks"))
+    s = lexical.fallback(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), q, "doc_id", "text")
+    s = s.select("question_id", "doc_id", "matched", F.round("score", 6).alias("score"))
     return lexical.top(s, "question_id", [F.col("score").desc(), F.col("doc_id")], 40)
 
 
@@ -98,7 +95,7 @@ _MODAL = "m AS (SELECT * FROM (SELECT question_id, label % 3 AS modality, vec_id
 def _modal(spark, sf_dir):
     from pyspark.sql import Window
 
-    s = _similar(spark, sf_dir).withColumn("modality", F.col("label") % 3)
+    s = _nearest(spark, sf_dir, 20, "modality")
     rank = F.row_number().over(Window.partitionBy("question_id", "modality").orderBy(F.col("similarity").desc(), "vec_id"))
     return s.withColumn("rank", rank.cast("long")).where("rank <= 20").select("question_id", "modality", "vec_id", "similarity", "rank")
 
@@ -195,19 +192,36 @@ def select_documents(spark, sf_dir):
     return fusion.first_documents(_docs(spark, sf_dir), "question_id", "doc", "rank", 3)
 
 
-@query()
+_TOP = "tp AS (SELECT * FROM (SELECT question_id, id, id % 5 AS doc, slot_ids, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, id) AS rank FROM rr) WHERE rank <= {})"
+#: Two slots: the first match of the first; of the second the first of another document, else the first other chunk; then the rest, two of a document.
+_PACKED = """p0 AS (SELECT question_id, min_by(id, rank) AS id, min_by(doc, rank) AS doc FROM tp WHERE list_contains(slot_ids, 'slot_0') GROUP BY 1),
+o1 AS (SELECT tp.*, coalesce(tp.doc = p0.doc, false) AS again FROM tp LEFT JOIN p0 USING (question_id) WHERE list_contains(slot_ids, 'slot_1') AND tp.id IS DISTINCT FROM p0.id),
+p1 AS (SELECT question_id, arg_min(id, again::INT * 1000 + rank) AS id FROM o1 GROUP BY 1),
+ch AS (SELECT tp.*, CASE WHEN tp.id = p0.id THEN 0 WHEN tp.id = p1.id THEN 1 ELSE 2 END AS turn FROM tp LEFT JOIN p0 USING (question_id) LEFT JOIN p1 USING (question_id)),
+cd AS (SELECT *, row_number() OVER (PARTITION BY question_id, doc ORDER BY turn, rank) AS n FROM ch),
+pk AS (SELECT question_id, id, doc, row_number() OVER (PARTITION BY question_id ORDER BY turn, rank) AS position FROM cd WHERE n <= 2)"""
+
+
+@query(f"WITH {_HYBRID}, {_RERANKED}, {_TOP.format(20)}, {_PACKED} SELECT question_id, id AS chunk_id, doc AS doc_id, position FROM pk WHERE position <= 8")
 def pack_slots(spark, sf_dir):
     r = lexical.top(_reranked(spark, sf_dir), "question_id", [F.col("score").desc(), F.col("id")], 20)
     r = r.select("question_id", F.col("id").alias("chunk_id"), (F.col("id") % 5).alias("doc_id"), "rank", "slot_ids", F.array(F.lit("slot_0"), F.lit("slot_1")).alias("required"))
     return fusion.pack_slots(r, "question_id", 8)
 
 
-@query()
+#: What is cited is the smallest id; it serves a slot before any other does.
+_BOUND = """ct AS (SELECT question_id, min(id) AS c FROM tp GROUP BY 1),
+b0 AS (SELECT question_id, c, arg_min(id, CASE WHEN id = c THEN 0 ELSE rank END) FILTER (WHERE list_contains(slot_ids, 'slot_0')) AS x FROM tp JOIN ct USING (question_id) GROUP BY 1, 2),
+b1 AS (SELECT question_id, c, x, arg_min(id, CASE WHEN id = c THEN 0 ELSE rank END) FILTER (WHERE list_contains(slot_ids, 'slot_1') AND id IS DISTINCT FROM x) AS y FROM tp JOIN b0 USING (question_id) GROUP BY 1, 2, 3),
+l AS (SELECT question_id, c, list_distinct([c]) || list_filter([x], lambda i: i IS NOT NULL AND i <> c) || list_filter([y], lambda i: i IS NOT NULL AND i <> c) AS ids FROM b1)"""
+
+
+@query(f"WITH {_HYBRID}, {_RERANKED}, {_TOP.format(8)}, {_BOUND} SELECT question_id, array_to_string(ids, ',') AS citation_ids, (len(ids) - 1)::BIGINT AS added FROM l")
 def bind_citations(spark, sf_dir):
     r = lexical.top(_reranked(spark, sf_dir), "question_id", [F.col("score").desc(), F.col("id")], 8)
-    c = r.select("question_id", F.col("id").alias("chunk_id"), "rank", "slot_ids")
-    a = r.groupBy("question_id").agg(F.array(F.min("id")).alias("cited"), F.array(F.lit("slot_0"), F.lit("slot_1")).alias("required"))
-    return fusion.bind_citations(c, a, "question_id")
+    c = cut(r.select("question_id", F.col("id").alias("chunk_id"), "rank", "slot_ids"))
+    a = c.groupBy("question_id").agg(F.array(F.min("chunk_id")).alias("cited"), F.array(F.lit("slot_0"), F.lit("slot_1")).alias("required"))
+    return _said(fusion.bind_citations(c, a, "question_id"), "citation_ids")
 
 
 @query(f"WITH {_HYBRID} SELECT question_id, count(*) AS candidates, count(*) FILTER (WHERE list_contains(sources, 'vector')) AS dense_candidates, count(*) FILTER (WHERE list_contains(sources, 'lexical')) AS lexical_candidates, count(*) FILTER (WHERE len(sources) > 1) AS shared FROM hy GROUP BY question_id")
