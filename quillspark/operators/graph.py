@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,32 +59,35 @@ def bounded_bfs(start: DataFrame, related: DataFrame, mentions: DataFrame, hops:
     spend what is left of the limit on chunks already found. ``own`` is a column of ``start``
     with the hops of each question, if they differ.
 
-    Frontier and found rows are cut at each level, so a level reads what the last one left.
+    Frontier and found chunks are cut at each level, so a level reads what the last one left;
+    the search ends where no question has a neighbour any more.
     ``related`` and ``mentions`` (key, chunk_id, each pair once) are read once a level; hand
     them over cut."""
     cap = max(20 * limit, 200)
-    far = [F.col(own).alias("__far")] if own else [F.lit(hops).alias("__far")]
-    frontier = cut(start.select("question_id", "key", *far).distinct())
-    reach = cut(frontier.groupBy("question_id").agg(F.max("__far").alias("__far")))
-    visited, found = frontier.select("question_id", "key"), None
+    far = F.col(own) if own else F.lit(hops)
+    frontier = cut(start.select("question_id", "key", far.alias("__far")).distinct())
+    reach = frontier.groupBy("question_id").agg(F.max("__far").alias("__far"))
+    frontier = visited = frontier.select("question_id", "key")
+    levels, fronts = [], []
     for depth in range(min(max(hops, 0), 3) + 1):
         # Chunks are counted and ranked first; which entities they have is looked up for those that stay.
-        asked = frontier.select("question_id", "key")
-        level = asked.join(mentions, "key").groupBy("question_id", "chunk_id").agg(F.count("*").alias("matched"))
+        level = frontier.join(mentions, "key").groupBy("question_id", "chunk_id").agg(F.count("*").alias("matched"))
         order = F.row_number().over(Window.partitionBy("question_id").orderBy(F.col("matched").desc(), "chunk_id"))
         level = level.withColumn("__r", order).where(F.col("__r") <= limit)
-        if found is None:
-            found = cut(_named(level.drop("__r"), asked, mentions, depth))
-        else:
+        if levels:
+            found = reduce(DataFrame.unionByName, levels).select("question_id", "chunk_id")
             have = found.groupBy("question_id").agg(F.count("*").alias("__have"))
-            level = level.join(have, "question_id", "left").where(F.col("__r") <= limit - F.coalesce("__have", F.lit(0))).drop("__r", "__have")
-            fresh = level.join(found.select("question_id", "chunk_id"), ["question_id", "chunk_id"], "left_anti")
-            found = cut(found.unionByName(_named(cut(fresh), asked, mentions, depth)))
+            level = level.join(have, "question_id", "left").where(F.col("__r") <= limit - F.coalesce("__have", F.lit(0))).drop("__have")
+            level = level.join(found, ["question_id", "chunk_id"], "left_anti")
+        levels.append(cut(level.drop("__r")))
+        fronts.append(frontier)
         if depth < hops:
             on = frontier.join(reach.where(F.col("__far") > depth).select("question_id"), "question_id", "left_semi")
             frontier = cut(neighbours(on, related, visited, cap).select("question_id", "key"))
-            visited = cut(visited.unionByName(frontier))
-    return found
+            if frontier.isEmpty():
+                break
+            visited = visited.unionByName(frontier)
+    return reduce(DataFrame.unionByName, [_named(x, f, mentions, d) for d, (x, f) in enumerate(zip(levels, fronts, strict=True))])
 
 
 def _named(level: DataFrame, frontier: DataFrame, mentions: DataFrame, depth: int) -> DataFrame:

@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,6 +49,12 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
+def together(jobs: list[Callable[[], object]]) -> list:
+    """Runs independent jobs side by side, so that small ones don't wait for each other; the first error is raised."""
+    with ThreadPoolExecutor(max_workers=8) as pool:
+        return [f.result() for f in [pool.submit(j) for j in jobs]]
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` (cut, of slim rows) marked for sending to all executors if it is counted to have
     at most ``rows`` rows; otherwise as it is, and joins shuffle."""

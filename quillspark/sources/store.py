@@ -1,9 +1,12 @@
-"""Versioned Parquet tables with a pointer, keyed caches, assets and simple readers.
-
-There is no table format with transactions here. A table is a folder of versions; a small
-pointer file names the current one and is replaced last, so readers see a whole version
-or the one before. There is one writer at a time. All paths go through Spark's file
-systems, so a store may be on any that Spark reads.
+"""Versioned Parquet tables in buckets, keyed caches, assets and simple readers.
+
+There is no table format with transactions here. A table is dealt into buckets by a key (the
+more rows, the more buckets; the number stays what it was at the first write), and
+a small manifest names the folder of each bucket; it is replaced last, so readers see a whole
+version or the one before. A change rewrites only the buckets of the keys it touches. The
+folders of the version before stay until the next change, for readers that still hold it.
+There is one writer at a time. All paths go through Spark's file systems, so a store may be
+on any that Spark reads.
 """
 
 from __future__ import annotations
@@ -11,10 +14,13 @@ from __future__ import annotations
 import json
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Buckets of a table, unless the store is given another number.
+BUCKETS = 16
+
 
 class Files:
     """The few file operations that the store needs, on Hadoop's file systems."""
@@ -57,33 +63,57 @@ class Files:
         fs.delete(p, True)
 
 
+def bucket_of(key: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(F.coalesce(key.cast("string"), F.lit(""))), F.lit(buckets)).cast("int")
+
+
 class Store:
-    """Named tables below a folder."""
-
-    def __init__(self, spark: SparkSession, root: str, schemas: dict[str, str]):
-        self.spark, self.root, self.schemas, self.files = spark, root.rstrip("/"), schemas, Files(spark)
-
-    def _current(self, name: str) -> str | None:
-        pointer = f"{self.root}/{name}/CURRENT"
-        return self.files.read(pointer).strip() if self.files.exists(pointer) else None
-
-    def read(self, name: str) -> DataFrame:
-        """The current version; an empty table of the right schema before the first."""
-        schema = T._parse_datatype_string(self.schemas[name])
-        at = self._current(name)
-        return self.spark.read.schema(schema).parquet(f"{self.root}/{name}/{at}") if at else self.spark.createDataFrame([], schema)
-
-    def write(self, name: str, df: DataFrame, partition: str | None = None) -> DataFrame:
-        """A new version, then the pointer, then the version before the last goes."""
-        old, new = self._current(name), f"v-{uuid.uuid4().hex}"
-        cols = [F.col(f.name).cast(f.dataType).alias(f.name) for f in T._parse_datatype_string(self.schemas[name])]
-        writer = df.select(*cols).write
-        (writer.partitionBy(partition) if partition else writer).parquet(f"{self.root}/{name}/{new}")
-        self.files.write(f"{self.root}/{name}/CURRENT", new)
-        if old:
-            self.files.delete(f"{self.root}/{name}/{old}")
+    """Named tables below a folder, each in buckets by its key (the first column, if none is named)."""
+
+    def __init__(self, spark: SparkSession, root: str, schemas: dict[str, str], keys: dict[str, str] | None = None, buckets: int = BUCKETS):
+        self.spark, self.root, self.files, self.buckets = spark, root.rstrip("/"), Files(spark), buckets
+        self.schemas = {n: T._parse_datatype_string(x) for n, x in schemas.items()}
+        self.keys = {n: (keys or {}).get(n, x.fieldNames()[0]) for n, x in self.schemas.items()}
+
+    def _manifest(self, name: str) -> dict:
+        at = f"{self.root}/{name}/CURRENT"
+        return json.loads(self.files.read(at)) if self.files.exists(at) else {"now": {}, "before": {}, "buckets": self.buckets}
+
+    def read(self, name: str, buckets: list[int] | None = None) -> DataFrame:
+        """The current version, or some of its buckets; an empty table of the right schema before the first."""
+        now = self._manifest(name)["now"]
+        folders = sorted(f"{self.root}/{name}/{at}/bucket={k}" for k, at in now.items() if buckets is None or int(k) in buckets)
+        return self.spark.read.schema(self.schemas[name]).parquet(*folders) if folders else self.spark.createDataFrame([], self.schemas[name])
+
+    def _put(self, name: str, df: DataFrame, hit: list[int]) -> None:
+        """Writes the whole new content of the buckets ``hit``, then the manifest, then drops what nothing names."""
+        was, new = self._manifest(name), f"v-{uuid.uuid4().hex}"
+        cols = [F.col(f.name).cast(f.dataType).alias(f.name) for f in self.schemas[name]]
+        dealt = df.select(*cols, bucket_of(F.col(self.keys[name]), was["buckets"]).alias("bucket"))
+        # A bucket's rows meet in a few tasks, so that a bucket is a few files.
+        dealt.repartition("bucket", F.pmod(F.monotonically_increasing_id(), F.lit(4))).write.partitionBy("bucket").parquet(f"{self.root}/{name}/{new}")
+        now = {k: at for k, at in was["now"].items() if int(k) not in hit}
+        now |= {str(k): new for k in hit if self.files.exists(f"{self.root}/{name}/{new}/bucket={k}")}
+        self.files.write(f"{self.root}/{name}/CURRENT", json.dumps({"now": now, "before": was["now"], "buckets": was["buckets"]}))
+        for gone in {*was["before"].values()} - {*now.values(), *was["now"].values()}:
+            self.files.delete(f"{self.root}/{name}/{gone}")
+
+    def write(self, name: str, df: DataFrame) -> DataFrame:
+        """A new version of the whole table."""
+        self._put(name, df, list(range(self._manifest(name)["buckets"])))
         return self.read(name)
 
+    def replace(self, name: str, ids: DataFrame, rows: DataFrame | None = None) -> None:
+        """Drops the rows whose key is in ``ids`` (a column of the key's name) and adds ``rows``;
+        only the buckets of these are read and written."""
+        key = self.keys[name]
+        keys = ids.select(F.col(key).cast("string").alias("k"))
+        touched = keys if rows is None else keys.unionByName(rows.select(F.col(key).cast("string").alias("k")))
+        hit = [r[0] for r in touched.select(bucket_of(F.col("k"), self._manifest(name)["buckets"]).alias("b")).distinct().collect()]  # at most all buckets
+        if hit:
+            kept = self.read(name, hit).join(ids.select(key).distinct(), key, "left_anti")
+            self._put(name, kept if rows is None else kept.unionByName(rows.select(*kept.columns)), hit)
+
 
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """JSON lines with a fixed schema; blank lines are passed over."""
@@ -119,24 +149,47 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
 
 
 def append_new(store: Store, name: str, rows: DataFrame, key: str) -> int:
-    """Adds rows whose key the table doesn't have; returns how many."""
-    old = store.read(name)
-    fresh = rows.dropDuplicates([key]).join(old.select(key), key, "left_anti").persist()
-    try:
-        n = fresh.count()
-        if n:
-            store.write(name, old.unionByName(fresh.select(*old.columns)))
-        return n
-    finally:
-        fresh.unpersist()
-
-
-def write_assets(rows: DataFrame, root: str) -> DataFrame:
-    """(doc_id, asset_path) after writing each content as ``{doc}/{sha256}`` below the folder.
-
-    Content-addressed, so equal contents of a document are one asset and a repeat changes
-    nothing. Documents with unsafe ids get a hashed folder."""
-    safe = F.when(F.col("doc_id").rlike(r"^[A-Za-z0-9_-][A-Za-z0-9_.-]*$"), F.col("doc_id")).otherwise(F.concat(F.lit("external-"), F.left(F.sha2("doc_id", 256), F.lit(32))))
-    a = rows.select("doc_id", safe.alias("folder"), F.sha2("content", 256).alias("sha"), "content").dropDuplicates(["doc_id", "sha"])
-    a.write.mode("append").partitionBy("folder").parquet(f"{root}/assets")
-    return a.select("doc_id", F.concat_ws("/", "folder", "sha").alias("asset_path"))
+    """Adds rows whose key (the table's) it doesn't have; returns how many."""
+    from quillspark.shared import cut
+
+    fresh = cut(rows.dropDuplicates([key]).join(store.read(name).select(key), key, "left_anti"))
+    n = fresh.count()
+    if n:
+        store.replace(name, fresh.select(key).limit(0), fresh)
+    return n
+
+
+def asset_folder(doc_id: Column) -> Column:
+    """A document's folder; unsafe ids are hashed."""
+    return F.when(doc_id.rlike(r"^[A-Za-z0-9_-][A-Za-z0-9_.-]*$"), doc_id).otherwise(F.concat(F.lit("external-"), F.left(F.sha2(doc_id, 256), F.lit(32))))
+
+
+#: Assets as a table: ``asset_path`` is the content's address, so equal contents of a document are one.
+ASSETS = {"assets": "doc_id string, asset_path string, content binary"}
+
+
+def write_assets(store: Store, rows: DataFrame) -> DataFrame:
+    """(doc_id, asset_path) after adding each content under ``{folder}/{sha256}``; a repeat changes nothing."""
+    from quillspark.shared import cut
+
+    path = F.concat_ws("/", asset_folder(F.col("doc_id")), F.sha2("content", 256))
+    new = cut(rows.select("doc_id", path.alias("asset_path"), "content").dropDuplicates(["doc_id", "asset_path"]))
+    fresh = new.join(store.read("assets").select("doc_id", "asset_path"), ["doc_id", "asset_path"], "left_anti")
+    store.replace("assets", new.select("doc_id").limit(0), fresh)
+    return new.select("doc_id", "asset_path")
+
+
+def prune_assets(store: Store, keep: DataFrame) -> int:
+    """Drops the assets of the documents in ``keep`` (doc_id, asset_path; a null path keeps none)
+    that it doesn't list; returns how many."""
+    from quillspark.shared import cut
+
+    docs = cut(keep.select("doc_id").distinct())
+    theirs = cut(store.read("assets").join(docs, "doc_id", "left_semi"))
+    kept = cut(theirs.join(keep.select("doc_id", "asset_path"), ["doc_id", "asset_path"], "left_semi"))
+    store.replace("assets", docs, kept)
+    return theirs.count() - kept.count()
+
+
+def delete_assets(store: Store, ids: DataFrame) -> None:
+    store.replace("assets", ids.select("doc_id"))

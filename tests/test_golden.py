@@ -265,3 +265,49 @@ def test_preparation(spark):
 def test_verdict(spark, supported, claimed, want):
     df = spark.createDataFrame([(supported, claimed)], "s array<boolean>, c string")
     assert df.select(ev.verdict(F.col("s"), F.col("c")).alias("v")).first().v == want
+
+
+def test_cer_query_against_plain_python(spark):
+    """Whole answers, normalised, of all neighbouring pairs."""
+    import re
+    import unicodedata
+
+    from quillspark.plans import catalog
+
+    def plain(t):
+        return re.sub(r"[^\w\u3400-\u9fff.%-]+", "", unicodedata.normalize("NFKC", t).lower())
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    sf = "/root/testdata/sf0.001"
+    texts = {r.item_id: plain(r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()}
+    want = {i: round(distance(t, texts[i + 1]) / len(texts[i + 1]), 6) for i, t in texts.items() if i + 1 in texts}
+    assert {r.item_id: r.cer for r in catalog.queries()["cer"](spark, sf).collect()} == want
+
+
+@pytest.mark.parametrize("text, value", [("2 + 3 * 4", 14), ("(2 + 3) * 4", 20), ("-2 ** 2", -4), ("2 ** -1", 0.5), ("2 ** 3 ** 2", 512), ("7 // 2 % 2", 1), ("10 - 3 - 4", 3), ("- - 2", 2), (".5 + 1e3", 1000.5), ("2 * -3 + 1", -5), ("8 / 4 / 2", 1)])
+def test_calculate_binds_as_arithmetic_does(text, value):
+    from quillspark.functions.metrics import calculate
+
+    assert calculate(text) == value == eval(text)  # noqa: S307
+
+
+@pytest.mark.parametrize("text", ["", None, "2 +", "(2", "2)", "2 3", "a + 1", "1 / 0", "2 ** 999", "10 ** 101", "2,3", "()", "*2", "__import__('os')", "1" * 201, "(-8) ** 0.5"])
+def test_calculate_refuses(text):
+    from quillspark.functions.metrics import calculate
+
+    assert calculate(text) is None
+
+
+def test_html_events():
+    from quillspark.sources.documents import html_units
+
+    page = "<p>lead</p><script>x</script><h1>A <b>B</b></h1>one<h2>C</h2><table><tr><th>h</th><td>v <i>w</i></td></tr><tr><td></td><td>z</td></tr></table>after<style>s<svg>t</svg></style>end"
+    got = [(u["unit_id"], u["content"], u.get("section")) for u in html_units(page)]
+    assert got == [("section:1", "lead", ""), ("section:2", "A B\none", "h1:A B"), ("section:3", "C", "h2:C"), ("table:1", "h | v w\n | z", None), ("section:4", "after\nend", "h2:C")]
