@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -130,38 +130,87 @@ def top(scored: DataFrame, key: str, order: list[Column], k: int) -> DataFrame:
     return scored.withColumn("rank", rank.cast("long")).where(F.col("rank") <= k)
 
 
-#: Different words of questions that are searched for in one pass over the texts.
-WORDS_AT_ONCE = 1000
-
-
-def fallback(docs: DataFrame, questions: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(question_id, doc_id, matched, score) of documents that hold any of a question's ``toks``,
-    as parts of words too: the share of tokens found plus a hundredth for each of ten occurrences.
-
-    A text is searched once for each different token, of all questions together, in blocks of a
-    bounded number; only occurrences leave the scan, and they meet the questions by token."""
-    asked = cut(questions.select("question_id", F.size("toks").alias("n"), F.explode("toks").alias("tok")))
-    tokens = cut(asked.select("tok").distinct())
-    n = tokens.count()
-    blocks = max(1, -(-n // WORDS_AT_ONCE))
-    found = None
-    for k in range(blocks):
-        some = [r[0] for r in (tokens if blocks == 1 else tokens.where(F.pmod(F.xxhash64("tok"), F.lit(blocks)) == k)).collect()]  # a bounded number
-        held = docs.sparkSession.sparkContext.broadcast([t for t in sorted(some) if t])
-
-        def count(batches, held=held):
-            for b in batches:
-                rows, words, times = [], [], []
-                for i, t in enumerate(b.column(1).to_pylist()):
-                    for w in held.value:
-                        if w in t:
-                            rows.append(i)
-                            words.append(w)
-                            times.append(t.count(w))
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows, pa.int64())), pa.array(words, pa.string()), pa.array(times, pa.int64())], names=["doc_id", "tok", "times"])
-
-        kind = docs.schema[doc_id].dataType.simpleString()
-        part = docs.select(F.col(doc_id).alias("doc_id"), F.lower(F.coalesce(F.col(text), F.lit(""))).alias("low")).mapInArrow(count, f"doc_id {kind}, tok string, times long")
-        found = part if found is None else found.unionByName(part)
-    hits = found.join(asked, "tok").groupBy("question_id", "doc_id").agg(F.count("*").alias("matched"), F.sum("times").alias("__often"), F.first("n").alias("__n"))
-    return hits.select("question_id", "doc_id", "matched", (F.col("matched") / F.col("__n") + F.least("__often", F.lit(10)) / 100).alias("score"))
+def counter(words: list[str]) -> Callable[[str, np.ndarray], None]:
+    """A function that adds to an array how often each word stands in a text, as ``str.count``
+    does: one pass of an automaton over the text, where that library is installed."""
+    try:
+        import ahocorasick
+    except ImportError:
+
+        def plain(text: str, into: np.ndarray) -> None:
+            for w, word in enumerate(words):
+                if word in text:
+                    into[w] += text.count(word)
+
+        return plain
+    machine = ahocorasick.Automaton()
+    lengths = np.array([len(w) for w in words], np.int64)
+    # Words that overlap themselves are counted where one ends before the next begins.
+    overlaps = np.array([any(w[:k] == w[-k:] for k in range(1, len(w))) for w in words], bool)
+    for w, word in enumerate(words):
+        machine.add_word(word, w)
+    machine.make_automaton()
+
+    def quick(text: str, into: np.ndarray) -> None:
+        hits = list(machine.iter(text))
+        if not hits:
+            return
+        end, at = np.array(hits, np.int64).T
+        into += np.bincount(at, minlength=len(words))
+        mine = overlaps[at]
+        e, w = end[mine], at[mine]
+        order = np.argsort(w, kind="stable")  # places of a word rise
+        e, w = e[order], w[order]
+        close = (w[1:] == w[:-1]) & (e[1:] - e[:-1] < lengths[w[1:]])
+        for x in np.unique(w[1:][close]):
+            free, n, places = -1, 0, e[w == x]
+            for y in places.tolist():
+                if y - lengths[x] >= free:
+                    free, n = y, n + 1
+            into[x] += n - len(places)
+
+    return quick
+
+
+def fallback_top(docs: DataFrame, questions: DataFrame, k: int, doc_id: str, text: str) -> DataFrame:
+    """(question_id, doc_id, matched, score) of documents that hold any of a question's ``toks``, as
+    parts of words too: the share of tokens found plus a hundredth for each of ten occurrences.
+    k for each question and batch of a task at most, and so the k best of all.
+
+    A text is searched once for each different token of a block of questions, bounded in number;
+    what a question gets is a product of counts with its tokens, made where the text is."""
+    asked = cut(questions.select("question_id", F.array_distinct(F.filter("toks", lambda t: t != "")).alias("toks")).where(F.size("toks") > 0))
+    n = asked.count()
+    blocks = max(1, -(-n // QUESTIONS_AT_ONCE))
+    kind, q_kind = docs.schema[doc_id].dataType.simpleString(), asked.schema["question_id"].dataType.simpleString()
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.lower(F.coalesce(F.col(text), F.lit(""))).alias("low"))
+    out = None
+    for i in range(blocks):
+        some = (asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("question_id"), F.lit(blocks)) == i)).toArrow()  # a bounded number
+        toks = some.column("toks").to_pylist()
+        words = sorted({w for t in toks for w in t})
+        place = {w: j for j, w in enumerate(words)}
+        has = np.zeros((len(words), some.num_rows))
+        for j, t in enumerate(toks):
+            has[[place[w] for w in t], j] = 1.0
+        held = docs.sparkSession.sparkContext.broadcast((some.column("question_id").combine_chunks(), words, has))
+
+        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            ids, words, has = held.value
+            size, count_words = has.sum(axis=0), counter(words)
+            for whole in batches:
+                for start in range(0, whole.num_rows, 500):
+                    b = whole.slice(start, 500)
+                    times = np.zeros((b.num_rows, len(words)))
+                    for j, low in enumerate(b.column(1).to_pylist()):
+                        count_words(low, times[j])
+                    matched = ((times > 0).astype(float) @ has).T
+                    s = np.round(matched / size[:, None] + np.minimum((times @ has).T, 10.0) / 100.0, 6)
+                    x, y = first_k(s, by_id(b.column(0)), k)
+                    good = matched[x, y] > 0
+                    x, y = x[good], y[good]
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(x)), b.column(0).take(pa.array(y)), pa.array(matched[x, y].astype(np.int64)), pa.array(s[x, y])], names=["question_id", "doc_id", "matched", "score"])
+
+        part = cut(rows.mapInArrow(run, f"question_id {q_kind}, doc_id {kind}, matched long, score double"))
+        out = part if out is None else out.unionByName(part)
+    return out if out is not None else rows.sparkSession.createDataFrame([], f"question_id {q_kind}, doc_id {kind}, matched long, score double")

@@ -79,8 +79,7 @@ def lexical_fallback_topk(spark, sf_dir):
     from quillspark.functions.text import lexical_tokens
 
     q = _asked(spark, sf_dir).select(F.col("item_id").alias("question_id"), lexical_tokens(F.col("text")).alias("toks"))
-    s = lexical.fallback(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), q, "doc_id", "text")
-    s = s.select("question_id", "doc_id", "matched", F.round("score", 6).alias("score"))
+    s = lexical.fallback_top(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), q, 40, "doc_id", "text")
     return lexical.top(s, "question_id", [F.col("score").desc(), F.col("doc_id")], 40)
 
 

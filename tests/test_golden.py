@@ -311,3 +311,19 @@ def test_html_events():
     page = "<p>lead</p><script>x</script><h1>A <b>B</b></h1>one<h2>C</h2><table><tr><th>h</th><td>v <i>w</i></td></tr><tr><td></td><td>z</td></tr></table>after<style>s<svg>t</svg></style>end"
     got = [(u["unit_id"], u["content"], u.get("section")) for u in html_units(page)]
     assert got == [("section:1", "lead", ""), ("section:2", "A B\none", "h1:A B"), ("section:3", "C", "h2:C"), ("table:1", "h | v w\n | z", None), ("section:4", "after\nend", "h2:C")]
+
+
+def test_word_counts_are_those_of_str_count():
+    import random
+
+    import numpy as np
+
+    from quillspark.operators.lexical import counter
+
+    r = random.Random(3)
+    words = sorted({"".join(r.choice("ab") for _ in range(r.randint(1, 4))) for _ in range(14)})
+    count = counter(words)
+    for _ in range(300):
+        text, into = "".join(r.choice("abc") for _ in range(r.randint(0, 30))), np.zeros(len(words))
+        count(text, into)
+        assert into.tolist() == [text.count(w) for w in words]
