@@ -123,6 +123,14 @@ def enumerate_patterns(counts: np.ndarray, capacity: int = CAPACITY, slack: int
             c = capacity - a - b
             if b < a and 0 < c < b and have[c]:
                 found.append((a, b, c, 1, 1, 1))
+    # Two runs, one of which takes a multiple of a sixteenth, and a third length beside them.
+    for full in range(capacity // 16, capacity, max(1, capacity // 16)):
+        for n, k in runs.get(full, [])[-1:]:
+            for taken, some in runs.items():
+                m, j = some[-1]
+                c = capacity - full - taken
+                if 0 < c and have[c] and len({n, m, c}) == 3:
+                    found.append((n, m, c, k, j, 1))
     both = np.array(found, np.int64).reshape(-1, 6)
     return both[:, :3], both[:, 3:]
 
