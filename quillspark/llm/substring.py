@@ -4,8 +4,8 @@ Seeds are five-word shingles chosen by winnowing: of every WINDOW shingles in a
 one with the smallest hash. A passage of 50 words that two documents share gives both
 the same seeds (two at least). A seed that at most FEW documents have joins each of them
 with each other; a seed of more documents joins each with the first and with the last that
-has it (by a hash of the document), never with all. So a seed costs at most FEW anchors for
-each of its occurrences.
+has it (by a hash of the document). So a seed costs at most FEW anchors for each of its
+occurrences at first; the pairs that this leaves out are tried later (see below).
 
 For each pair of documents the anchors (place here, place there) are chained: both places
 rise, and a chain pays for its gaps. The best predecessor comes from a Fenwick tree of
@@ -22,6 +22,14 @@ shows, its windows of MIN_WORDS words are matched exactly, in whichever document
 and whether those places are shown or not: all places that have the same seeds are looked
 up. So no document is missed that repeats MIN_WORDS words of another word for word.
 
+Edited passages that the first and the last document of their seeds don't show are found by
+pairs of seeds: two that stand REACH apart or more and no farther than a chain links them, one
+of more than FEW documents at least. All documents that have such a pair of seeds are parted in
+classes: those whose passages show these words with the same documents are one. Any two
+documents of different classes are chained with all seeds that they share. So two documents
+with a chain that spans REACH words in both (there, no more than SLACK words more or less) are
+either chained with each other or linked, at its words, through the passages of their class.
+
 Defined results: a null text has no words; rows that are the same document with the same
 id are one document; texts shorter than a shingle have no seed; an empty table gives no
 rows.
@@ -51,6 +59,8 @@ MARGIN = 64
 #: far beyond its first seed all seeds still belong to it.
 REACH = MIN_WORDS - SHINGLE - 2 * (WINDOW - 1)
 FAR = MIN_WORDS - SHINGLE - (WINDOW - 1)
+#: How many words a passage of MIN_WORDS may have on one side only.
+SLACK = round(MIN_WORDS * (1 - MIN_SAME))
 #: A seed that so many documents have at most joins all of them, two by two.
 FEW = 6
 #: Words that match in a row between which an alignment is made, and the largest gap (words
@@ -306,9 +316,11 @@ def passages(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(keys[doc]), pa.array(at.astype(np.int32)), pa.array(lead)], names=["h", "key", "at", "lead"])
 
     sown = written(docs.select("key", "text").mapInArrow(sow, "h long, key long, at int, lead boolean"))
-    first = sown.where("lead").select("h", "key", "at")
-    groups = first.groupBy("h").agg(F.count("*").alias("n"), F.min("key").alias("k0"), F.min_by("at", "key").alias("a0"), F.max("key").alias("k1"), F.max_by("at", "key").alias("a1"))
+    groups = sown.where("lead").groupBy("h").agg(F.count("*").alias("n"), F.min("key").alias("k0"), F.min_by("at", "key").alias("a0"), F.max("key").alias("k1"), F.max_by("at", "key").alias("a1"))
     groups = cut(groups.where("k0 <> k1"))
+    # From here on only seeds count that two documents have.
+    sown = written(sown.join(groups.select("h", (F.col("n") > FEW).alias("hot")), "h"))
+    first = sown.where("lead").select("h", "key", "at")
     # The first document of a seed has no anchor there, but a mark: its seed is shared.
     own = F.col("key") == F.col("k0")
     ends = F.array(F.struct(F.when(~own, F.col("k0")).alias("other"), F.when(~own, F.col("a0")).alias("there")), F.when((F.col("n") > FEW) & ~own & (F.col("key") != F.col("k1")), F.struct(F.col("k1").alias("other"), F.col("a1").alias("there"))))
@@ -359,33 +371,22 @@ def passages(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
         kinds = [pa.int64()] * 6 + [pa.binary()]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["key", "other", "p0", "p1", "q0", "q1", "marks"])
 
-    # A document's anchors are bounded by its length, two for each seed at most.
-    dealt = anchors.repartition(shuffle_partitions(spark), "key").sortWithinPartitions("key", "other", "at", "there")
-    every = cut(dealt.mapInArrow(chain, "key long, other long, p0 long, p1 long, q0 long, q1 long, marks binary"))
-    found = every.where("other is not null")
+    # A document's first anchors are bounded by its length, FEW for each seed at most.
+    def chained(anchors: DataFrame) -> DataFrame:
+        dealt = anchors.repartition(shuffle_partitions(spark), "key").sortWithinPartitions("key", "other", "at", "there")
+        return cut(dealt.mapInArrow(chain, "key long, other long, p0 long, p1 long, q0 long, q1 long, marks binary"))
+
+    every = chained(anchors)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             codes = [word_codes(t).astype("<u4").tobytes() for t in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(codes, pa.binary())], names=["key", "doc_id", "codes"])
 
-    kind = df.schema[doc_id].dataType.simpleString()
-    side = lambda n, key, a, b: F.struct(F.lit(n).alias("side"), F.col(key).alias("key"), F.col(a).alias("a"), F.col(b).alias("b"))
-    wanted = found.select(
-        F.struct("key", "other", "p0", "q0", "p1", "q1").alias("chain"),
-        F.explode(F.array(side(0, "key", "p0", "p1"), side(1, "other", "q0", "q1"))).alias("w"),
-    ).select("chain", "w.*")
-    begin = F.greatest(F.col("a") - MARGIN, F.lit(0))
     # Rows that are the same document come once.
+    kind = df.schema[doc_id].dataType.simpleString()
     coded = docs.mapInArrow(encode, f"key long, doc_id {kind}, codes binary")
-    slices = wanted.join(coded, "key").select(
-        "chain",
-        "side",
-        F.struct("doc_id", begin.cast("long").alias("begin"), F.substr("codes", (begin * 4 + 1).cast("int"), ((F.col("b") + SHINGLE + MARGIN - begin) * 4).cast("int")).alias("codes")).alias("s"),
-    )
-    both = slices.groupBy("chain").agg(F.first(F.when(F.col("side") == 0, F.col("s")), ignorenulls=True).alias("x"), F.first(F.when(F.col("side") == 1, F.col("s")), ignorenulls=True).alias("y"))
-    flat = both.select("chain.key", "chain.other", "x.doc_id", F.col("y.doc_id").alias("other_doc_id"), "chain.p0", "chain.p1", "chain.q0", "chain.q1", F.col("x.begin").alias("xb"), F.col("x.codes").alias("xc"), F.col("y.begin").alias("yb"), F.col("y.codes").alias("yc"))
-
+    side = lambda n, key, a, b: F.struct(F.lit(n).alias("side"), F.col(key).alias("key"), F.col(a).alias("a"), F.col(b).alias("b"))
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keep, out = [], []
@@ -401,12 +402,41 @@ def passages(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
                 names = ["key", "other", "doc_id", "other_doc_id"]
                 yield pa.RecordBatch.from_arrays([*[b.column(c).take(at) for c in names], *cols], names=[*names, "start", "stop", "other_start", "other_stop", "same"])
 
+    def aligned_(every: DataFrame) -> DataFrame:
+        found = every.where("other is not null")
+        wanted = found.select(
+            F.struct("key", "other", "p0", "q0", "p1", "q1").alias("chain"),
+            F.explode(F.array(side(0, "key", "p0", "p1"), side(1, "other", "q0", "q1"))).alias("w"),
+        ).select("chain", "w.*")
+        begin = F.greatest(F.col("a") - MARGIN, F.lit(0))
+        slices = wanted.join(coded, "key").select(
+            "chain",
+            "side",
+            F.struct("doc_id", begin.cast("long").alias("begin"), F.substr("codes", (begin * 4 + 1).cast("int"), ((F.col("b") + SHINGLE + MARGIN - begin) * 4).cast("int")).alias("codes")).alias("s"),
+        )
+        both = slices.groupBy("chain").agg(F.first(F.when(F.col("side") == 0, F.col("s")), ignorenulls=True).alias("x"), F.first(F.when(F.col("side") == 1, F.col("s")), ignorenulls=True).alias("y"))
+        flat = both.select("chain.key", "chain.other", "x.doc_id", F.col("y.doc_id").alias("other_doc_id"), "chain.p0", "chain.p1", "chain.q0", "chain.q1", F.col("x.begin").alias("xb"), F.col("x.codes").alias("xc"), F.col("y.begin").alias("yb"), F.col("y.codes").alias("yc"))
+        return cut(flat.mapInArrow(finish, f"key long, other long, doc_id {kind}, other_doc_id {kind}, start long, stop long, other_start long, other_stop long, same double"))
+
     columns = ["doc_id", "other_doc_id", "start", "stop", "other_start", "other_stop", "same"]
-    aligned = cut(flat.mapInArrow(finish, f"key long, other long, doc_id {kind}, other_doc_id {kind}, start long, stop long, other_start long, other_stop long, same double"))
-    need = cut(_open_places(every.where("other is null").select("key", "marks"), aligned))
-    if need.isEmpty():
-        return aligned.select(*columns)
-    return aligned.select(*columns).unionByName(_exact(need, _met_places(need, sown), coded, kind).select(*columns))
+    linked = aligned_(every)
+    need = cut(_open_places(every.where("other is null").select("key", "marks"), linked))
+    if not need.isEmpty():
+        linked = cut(linked.unionByName(_exact(need, _met_places(need, sown), coded, kind)))
+    here, there = sown.select("h", "key", "at"), first.select("h", F.col("key").alias("other"), F.col("at").alias("there"))
+    # First one of each class with one of the largest, so that few are apart when all pairs are tried.
+    for each in (False, True):
+        apart = cut(_apart(sown, linked, each))
+        if apart.isEmpty():
+            break
+        rest = aligned_(chained(apart.join(here, "key").join(there, ["other", "h"]).select("key", "other", "at", "there")))
+        # What a passage of the same documents shows already isn't said again.
+        said = linked.select("key", "other", *columns[2:6])
+        back = said.toDF("other", "key", "other_start", "other_stop", "start", "stop")
+        x, y = rest.alias("x"), said.unionByName(back).alias("y")
+        within = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("key", "other")] + [F.col(f"x.{c}") >= F.col(f"y.{c}") for c in ("start", "other_start")] + [F.col(f"x.{c}") <= F.col(f"y.{c}") for c in ("stop", "other_stop")]
+        linked = cut(linked.unionByName(x.join(y, within, "left_anti")))
+    return linked.select(*columns)
 
 
 def _runs(marks: np.ndarray) -> list[np.ndarray]:
@@ -509,4 +539,142 @@ def _exact(need: DataFrame, met: DataFrame, coded: DataFrame, kind: str) -> Data
     nth = F.row_number().over(Window.partitionBy("key", "other", "shift").orderBy("at"))
     run_of = met.withColumn("run", F.col("at") - nth).groupBy("key", "other", "shift", "run")
     out = run_of.agg(F.first("doc_id").alias("doc_id"), F.first("other_doc_id").alias("other_doc_id"), F.min("at").alias("start"), (F.max("at") + MIN_WORDS).alias("stop"))
-    return out.select("doc_id", "other_doc_id", "start", "stop", (F.col("start") - F.col("shift")).alias("other_start"), (F.col("stop") - F.col("shift")).alias("other_stop"), F.lit(1.0).alias("same"))
+    return out.select("key", "other", "doc_id", "other_doc_id", "start", "stop", (F.col("start") - F.col("shift")).alias("other_start"), (F.col("stop") - F.col("shift")).alias("other_stop"), F.lit(1.0).alias("same"))
+
+
+def seed_pairs(doc: np.ndarray, at: np.ndarray, h: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(pair of seeds, document number, first place, last place, whether these are the first of both seeds), of shared seeds ordered by document and place.
+
+    The best chain reaches REACH words with one of its links. Before that link it has no more
+    seeds than the document has different ones in REACH words (a chain has no seed twice, as
+    there its first place counts), each earns SHINGLE at most, and the link costs GAP for each
+    word of either side; a passage of MIN_WORDS may lack some words on one side."""
+    place = doc * np.int64(1 << 32) + at
+    n, end = len(at), np.searchsorted(place, place + REACH)
+    order = np.lexsort((place, h, doc))
+    again = (doc[order][1:] == doc[order][:-1]) & (h[order][1:] == h[order][:-1])
+    before = np.full(n, -1)
+    before[order[1:][again]] = order[:-1][again]
+    first, clump = np.arange(n), np.zeros(n, np.int64)
+    for k in range(int((end - first).max(initial=0))):
+        nth = np.minimum(first + k, n - 1)
+        clump += (first + k < end) & (before[nth] < first)
+    far = REACH + (clump * SHINGLE / GAP / 2).astype(np.int64) + SLACK
+    low, high = np.searchsorted(place, place + REACH), np.searchsorted(place, place + far, side="right")
+    n = high - low
+    i = np.repeat(np.arange(len(at)), n)
+    j = np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n) + low[i]
+    keep = hot[i] | hot[j]
+    i, j = i[keep], j[keep]
+    with np.errstate(over="ignore"):
+        pair = _mixed(_mixed(h[i].view(np.uint64)) * PRIME + h[j].view(np.uint64)).view(np.int64)
+    return pair, doc[i], at[i], at[j], (before[i] < 0) & (before[j] < 0)
+
+
+def across(key: np.ndarray, low: np.ndarray, high: np.ndarray, lead: np.ndarray, near: np.ndarray, far: np.ndarray, every: bool = True) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Of documents that have a pair of seeds, each with the smallest and the largest that shows
+    its words, all pairs of different classes; otherwise one of each class with one of the largest.
+
+    The second of a pair has its seeds at their first places; if both have, it is the smaller.
+    The seeds are near to far words apart; an edit changes that by SLACK at most."""
+    names, number = np.unique(np.concatenate([key, low, high]), return_inverse=True)
+    root = list(range(len(names)))
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    n = len(key)
+    number = number.tolist()
+    for k in range(n):
+        for other in (number[n + k], number[2 * n + k]):
+            root[find(number[k])] = find(other)
+    label = np.array([find(x) for x in number[:n]])
+    if not every:
+        order = np.lexsort((~lead, -np.bincount(label)[label], label))
+        order = order[np.append(True, label[order][1:] != label[order][:-1])]
+        top = int(np.argmax(np.bincount(label)[label[order]]))
+        label, key, lead = label[order], key[order], lead[order]
+        others = np.delete(np.arange(len(key)), top)
+        others = others[lead[others] | lead[top]]
+        swap = ~lead[others] | ((key[others] > key[top]) & lead[top])
+        yield np.where(swap, key[others], key[top]), np.where(swap, key[top], key[others])
+        return
+    order = np.lexsort((~lead, label))
+    label, key, lead, near, far = label[order], key[order], lead[order], near[order], far[order]
+    leads = np.flatnonzero(lead)
+    ends = np.searchsorted(label, label, side="right")
+    for k in range(int(np.searchsorted(ends, n))):  # the last class has met all others
+        others = np.arange(ends[k], n) if lead[k] else leads[np.searchsorted(leads, ends[k]) :]
+        others = others[(near[others] <= far[k] + SLACK) & (far[others] >= near[k] - SLACK)]
+        swap = ~lead[others] | ((key[others] > key[k]) & lead[k])
+        yield np.where(swap, key[others], key[k]), np.where(swap, key[k], key[others])
+
+
+def _apart(sown: DataFrame, linked: DataFrame, every: bool) -> DataFrame:
+    """(key, other) of the documents that share a pair of seeds, one of them hot, in different classes (see across)."""
+    spans = linked.groupBy("key").agg(F.collect_list(F.struct("start", "stop", "other")).alias("spans"))
+    marks = sown.groupBy("key").agg(F.array_sort(F.collect_set(F.struct(F.col("at").cast("long").alias("at"), "h", "hot"))).alias("marks"), F.max("hot").alias("any")).where("any").drop("any")
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for s in range(0, whole.num_rows, 200):
+                b = whole.slice(s, 200)
+                keys, marked, shown = b.column(0).to_numpy(), b.column(1), b.column(2).to_pylist()
+                at, h, hot = marked.flatten().flatten()
+                doc = np.repeat(np.arange(b.num_rows), np.diff(marked.offsets.to_numpy()))
+                pair, doc, a0, a1, lead = seed_pairs(doc, at.to_numpy(), h.to_numpy(), hot.to_numpy(zero_copy_only=False))
+                low, high = keys[doc], keys[doc]
+                bounds = np.searchsorted(doc, np.arange(b.num_rows + 1))
+                for d, found in enumerate(shown):
+                    part = slice(bounds[d], bounds[d + 1])
+                    for x in found or []:
+                        inside = (a0[part] >= x["start"]) & (a1[part] + SHINGLE <= x["stop"])
+                        low[part][inside] = np.minimum(low[part][inside], x["other"])
+                        high[part][inside] = np.maximum(high[part][inside], x["other"])
+                if not len(pair):
+                    continue
+                # A pair of seeds that comes again in its document counts once.
+                order = np.lexsort((pair, doc))
+                pair, doc, low, high, lead, width = pair[order], doc[order], low[order], high[order], lead[order], (a1 - a0)[order].astype(np.int32)
+                new = np.flatnonzero(np.append(True, (pair[1:] != pair[:-1]) | (doc[1:] != doc[:-1])))
+                cols = [pair[new], keys[doc[new]], np.minimum.reduceat(low, new), np.maximum.reduceat(high, new), np.logical_or.reduceat(lead, new), np.minimum.reduceat(width, new), np.maximum.reduceat(width, new)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["pair", "key", "low", "high", "lead", "near", "far"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(found: list[tuple]) -> pa.RecordBatch:
+            both = np.unique(np.stack([np.concatenate(x) for x in zip(*found, strict=True)], 1), axis=0)
+            return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["key", "other"])
+
+        left, found, size = None, [], 0
+        for b in (*batches, None):
+            cols = [c.to_numpy(zero_copy_only=False) for c in b.columns] if b is not None else None
+            if cols is not None:
+                cols = [np.concatenate(x) for x in zip(left, cols, strict=True)] if left else cols
+            else:
+                cols = left
+            if not cols or not len(cols[0]):
+                continue
+            pair, low, high, lead = cols[0], *cols[2:5]
+            edges = np.append(np.flatnonzero(np.append(True, pair[1:] != pair[:-1])), len(pair))
+            if b is not None:  # the last pair may go on
+                left, edges = [c[edges[-2] :] for c in cols], edges[:-1]
+            if len(edges) < 2:
+                continue
+            one = [np.minimum.reduceat(x[: edges[-1]], edges[:-1]) == np.maximum.reduceat(x[: edges[-1]], edges[:-1]) for x in (low, high)]
+            some = np.logical_or.reduceat(lead[: edges[-1]], edges[:-1])
+            for k in np.flatnonzero(some & ~(one[0] | one[1])).tolist():
+                s, e = edges[k], edges[k + 1]
+                for x in across(*(c[s:e] for c in cols[1:]), every):
+                    found.append(x)
+                    size += len(x[0])
+                    if size > 200_000:
+                        yield out(found)
+                        found, size = [], 0
+        if found:
+            yield out(found)
+
+    nodes = marks.join(spans, "key", "left").select("key", "marks", "spans").mapInArrow(pairs, "pair long, key long, low long, high long, lead boolean, near int, far int")
+    dealt = nodes.repartition(shuffle_partitions(sown.sparkSession), "pair").sortWithinPartitions("pair")
+    return dealt.mapInArrow(meet, "key long, other long").distinct()

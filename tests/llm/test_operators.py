@@ -808,3 +808,46 @@ def test_passages_whose_partner_is_shown(spark):
         if 202 in (r.doc_id, r.other_doc_id):
             a, b = texts[r.doc_id].split()[r.start : r.stop], texts[r.other_doc_id].split()[r.other_start : r.other_stop]
             assert a == b == p
+
+
+@pytest.mark.parametrize("case", range(3))
+def test_edited_passages_whose_seeds_are_frequent(spark, case):
+    """Two edited copies of a passage whose seeds are all in many other documents, a few words in each;
+    no 50 words in a row are equal, and the first and the last document of its seeds are others."""
+    p = words(1200 + case, 120).split()
+    sides = [[f"e{k}" if k % 40 == at else w for k, w in enumerate(p)] for at in (10, 30)]
+    texts = {900 + k: " ".join([words(1210 + 2 * case + k, 40), *side, words(1220 + 2 * case + k, 40)]) for k, side in enumerate(sides)}
+    for n in range(12 * 16):
+        k = n // 12 * 7
+        texts[n] = words(1300 + 1000 * case + n, 30) + " " + " ".join(p[k : k + 15]) + " " + words(1700 + 1000 * case + n, 30)
+    got = substring.passages(spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)).collect()
+    assert {frozenset((x.doc_id, x.other_doc_id)) for x in got} == {frozenset((900, 901))}
+    for x in got:
+        assert x.same >= substring.MIN_SAME and min(x.stop - x.start, x.other_stop - x.other_start) >= substring.MIN_WORDS
+    assert max(x.stop - x.start for x in got) >= 100
+
+
+def test_across_gives_all_pairs_of_different_classes():
+    r = np.random.default_rng(6)
+    for _ in range(100):
+        n = int(r.integers(2, 12))
+        key = r.permutation(40)[:n]
+        shown = r.choice(key, n)
+        low, high, lead = np.minimum(key, shown), np.maximum(key, shown), r.random(n) < 0.7
+        near = r.integers(15, 40, n)
+        label = {k: {int(k)} for k in key.tolist()}
+        for a, b in [*zip(low.tolist(), high.tolist(), strict=True)]:
+            both = label[a] | label[b]
+            for x in both:
+                label[x] = both
+        want = set()
+        for i in range(n):
+            for j in range(i):
+                a, b = int(key[i]), int(key[j])
+                if b not in label[a] and (lead[i] or lead[j]) and abs(int(near[i] - near[j])) <= substring.SLACK:
+                    want.add((max(a, b), min(a, b)) if lead[i] == lead[j] else (b, a) if lead[i] else (a, b))
+        got = [x for s in substring.across(key, low, high, lead, near, near) for x in zip(*(y.tolist() for y in s), strict=True)]
+        assert len(got) == len(set(got)) and set(got) == want
+        classes = {frozenset(x) for x in label.values()}
+        one = [x for s in substring.across(key, low, high, lead, near, near, False) for x in zip(*(y.tolist() for y in s), strict=True)]
+        assert len(one) < len(classes) and all(b not in label[a] for a, b in one)
