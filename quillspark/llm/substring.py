@@ -63,6 +63,10 @@ FAR = MIN_WORDS - SHINGLE - (WINDOW - 1)
 SLACK = round(MIN_WORDS * (1 - MIN_SAME))
 #: A seed that so many documents have at most joins all of them, two by two.
 FEW = 6
+#: How often one of each class is tried with few others before all pairs are.
+TURNS = 1
+#: Of at most so many documents the keys (eight bytes each) may be sent to all executors.
+KEYS = 2_000_000
 #: Words that match in a row between which an alignment is made, and the largest gap (words
 #: here times words there) that is aligned word by word.
 MATCH, GAP_CELLS = 4, 4096
@@ -306,7 +310,8 @@ def passages(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
             for k in range(0, b.num_rows, 500):
                 part = b.slice(k, 500)
                 keys = part.column(0).to_numpy()
-                doc, at, h = seeds([word_codes(t) for t in part.column(1).to_pylist()])
+                # A text of fewer words has no passage.
+                doc, at, h = seeds([c if len(c) >= MIN_WORDS else c[:0] for c in map(word_codes, part.column(1).to_pylist())])
                 # The first place of a seed in its document may stand for it.
                 order = np.lexsort((at, h, doc))
                 first = np.ones(len(order), bool)
@@ -386,6 +391,12 @@ def passages(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     # Rows that are the same document come once.
     kind = df.schema[doc_id].dataType.simpleString()
     coded = docs.mapInArrow(encode, f"key long, doc_id {kind}, codes binary")
+
+    def coded_of(keys: DataFrame) -> DataFrame:
+        """The words of some documents, so that the others are neither read as words nor dealt."""
+        keys = cut(keys.distinct())
+        return docs.join(F.broadcast(keys), "key", "left_semi").mapInArrow(encode, f"key long, doc_id {kind}, codes binary") if keys.count() <= KEYS else coded
+
     side = lambda n, key, a, b: F.struct(F.lit(n).alias("side"), F.col(key).alias("key"), F.col(a).alias("a"), F.col(b).alias("b"))
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -402,7 +413,7 @@ def passages(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
                 names = ["key", "other", "doc_id", "other_doc_id"]
                 yield pa.RecordBatch.from_arrays([*[b.column(c).take(at) for c in names], *cols], names=[*names, "start", "stop", "other_start", "other_stop", "same"])
 
-    def aligned_(every: DataFrame) -> DataFrame:
+    def aligned_(every: DataFrame, coded: DataFrame) -> DataFrame:
         found = every.where("other is not null")
         wanted = found.select(
             F.struct("key", "other", "p0", "q0", "p1", "q1").alias("chain"),
@@ -419,17 +430,25 @@ def passages(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
         return cut(flat.mapInArrow(finish, f"key long, other long, doc_id {kind}, other_doc_id {kind}, start long, stop long, other_start long, other_stop long, same double"))
 
     columns = ["doc_id", "other_doc_id", "start", "stop", "other_start", "other_stop", "same"]
-    linked = aligned_(every)
+    linked = aligned_(every, coded)
     need = cut(_open_places(every.where("other is null").select("key", "marks"), linked))
     if not need.isEmpty():
-        linked = cut(linked.unionByName(_exact(need, _met_places(need, sown), coded, kind)))
+        met = cut(_met_places(need, sown))
+        linked = cut(linked.unionByName(_exact(need, met, coded_of(need.select("key").unionByName(met.select("key"))), kind)))
     here, there = sown.select("h", "key", "at"), first.select("h", F.col("key").alias("other"), F.col("at").alias("there"))
     # First one of each class with one of the largest, so that few are apart when all pairs are tried.
-    for each in (False, True):
-        apart = cut(_apart(sown, linked, each))
-        if apart.isEmpty():
+    asked = tried = None
+    for turn in range(TURNS + 1):
+        met = cut(_apart(sown, linked, asked, turn, turn == TURNS))
+        apart = met.where("other is not null").select("key", "other").distinct()
+        apart = cut(apart if tried is None else apart.join(tried, ["key", "other"], "left_anti"))
+        if met.isEmpty():
             break
-        rest = aligned_(chained(apart.join(here, "key").join(there, ["other", "h"]).select("key", "other", "at", "there")))
+        asked, tried = met.where("other is null").select("pair", "key"), apart if tried is None else tried.unionByName(apart)
+        if apart.isEmpty():
+            continue
+        both = coded_of(apart.select("key").unionByName(apart.select(F.col("other").alias("key"))))
+        rest = aligned_(chained(apart.join(here, "key").join(there, ["other", "h"]).select("key", "other", "at", "there")), both)
         # What a passage of the same documents shows already isn't said again.
         said = linked.select("key", "other", *columns[2:6])
         back = said.toDF("other", "key", "other_start", "other_stop", "start", "stop")
@@ -571,9 +590,10 @@ def seed_pairs(doc: np.ndarray, at: np.ndarray, h: np.ndarray, hot: np.ndarray)
     return pair, doc[i], at[i], at[j], (before[i] < 0) & (before[j] < 0)
 
 
-def across(key: np.ndarray, low: np.ndarray, high: np.ndarray, lead: np.ndarray, near: np.ndarray, far: np.ndarray, every: bool = True) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Of documents that have a pair of seeds, each with the smallest and the largest that shows
-    its words, all pairs of different classes; otherwise one of each class with one of the largest.
+def across(key: np.ndarray, low: np.ndarray, high: np.ndarray, lead: np.ndarray, near: np.ndarray, far: np.ndarray, every: bool = True, turn: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Of documents that have a pair of seeds, each with two that show its words (a document may
+    come several times), all pairs of different classes; otherwise one of each class with one of
+    the largest and with any of another, others in each turn.
 
     The second of a pair has its seeds at their first places; if both have, it is the smaller.
     The seeds are near to far words apart; an edit changes that by SLACK at most."""
@@ -590,16 +610,29 @@ def across(key: np.ndarray, low: np.ndarray, high: np.ndarray, lead: np.ndarray,
     for k in range(n):
         for other in (number[n + k], number[2 * n + k]):
             root[find(number[k])] = find(other)
-    label = np.array([find(x) for x in number[:n]])
+    once = np.unique(key, return_index=True)[1]
+    key, lead, near, far = key[once], lead[once], near[once], far[once]
+    label = np.unique([find(number[k]) for k in once.tolist()], return_inverse=True)[1]
+    n = len(key)
+    if label.max() == 0:
+        return
+
+    def met(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        fit = (label[x] != label[y]) & (lead[x] | lead[y]) & (near[x] <= far[y] + SLACK) & (far[x] >= near[y] - SLACK)
+        x, y = x[fit], y[fit]
+        swap = ~lead[x] | ((key[x] > key[y]) & lead[y])
+        return np.where(swap, key[x], key[y]), np.where(swap, key[y], key[x])
+
     if not every:
-        order = np.lexsort((~lead, -np.bincount(label)[label], label))
-        order = order[np.append(True, label[order][1:] != label[order][:-1])]
-        top = int(np.argmax(np.bincount(label)[label[order]]))
-        label, key, lead = label[order], key[order], lead[order]
-        others = np.delete(np.arange(len(key)), top)
-        others = others[lead[others] | lead[top]]
-        swap = ~lead[others] | ((key[others] > key[top]) & lead[top])
-        yield np.where(swap, key[others], key[top]), np.where(swap, key[top], key[others])
+        with np.errstate(over="ignore"):
+            dice = _mixed(_mixed(key.view(np.uint64) + np.uint64(turn)))
+        order = np.lexsort((dice, ~lead, label))
+        own = order[np.append(True, label[order][1:] != label[order][:-1])]
+        top = own[np.argmax(np.bincount(label))]
+        own = own[own != top]
+        yield met(own, np.full(len(own), top))
+        if turn:
+            yield met(own, (dice[own] % np.uint64(n)).astype(np.int64))
         return
     order = np.lexsort((~lead, label))
     label, key, lead, near, far = label[order], key[order], lead[order], near[order], far[order]
@@ -607,13 +640,18 @@ def across(key: np.ndarray, low: np.ndarray, high: np.ndarray, lead: np.ndarray,
     ends = np.searchsorted(label, label, side="right")
     for k in range(int(np.searchsorted(ends, n))):  # the last class has met all others
         others = np.arange(ends[k], n) if lead[k] else leads[np.searchsorted(leads, ends[k]) :]
-        others = others[(near[others] <= far[k] + SLACK) & (far[others] >= near[k] - SLACK)]
-        swap = ~lead[others] | ((key[others] > key[k]) & lead[k])
-        yield np.where(swap, key[others], key[k]), np.where(swap, key[k], key[others])
+        yield met(others, np.full(len(others), k))
 
 
-def _apart(sown: DataFrame, linked: DataFrame, every: bool) -> DataFrame:
-    """(key, other) of the documents that share a pair of seeds, one of them hot, in different classes (see across)."""
+def _apart(sown: DataFrame, linked: DataFrame, asked: DataFrame | None, turn: int, every: bool) -> DataFrame:
+    """(pair, key, other): the documents that share the seeds of a link, one of them hot, and are in different classes.
+
+    With another document: two to be chained (see across). With none: a document of such a
+    group; only these are ``asked`` in the next turn, as classes only grow together."""
+    full = asked is not None
+    if full:
+        keys = asked.select("key").distinct()
+        sown, linked = sown.join(keys, "key", "left_semi"), linked.join(keys, "key", "left_semi")
     spans = linked.groupBy("key").agg(F.collect_list(F.struct("start", "stop", "other")).alias("spans"))
     marks = sown.groupBy("key").agg(F.array_sort(F.collect_set(F.struct(F.col("at").cast("long").alias("at"), "h", "hot"))).alias("marks"), F.max("hot").alias("any")).where("any").drop("any")
 
@@ -625,29 +663,47 @@ def _apart(sown: DataFrame, linked: DataFrame, every: bool) -> DataFrame:
                 at, h, hot = marked.flatten().flatten()
                 doc = np.repeat(np.arange(b.num_rows), np.diff(marked.offsets.to_numpy()))
                 pair, doc, a0, a1, lead = seed_pairs(doc, at.to_numpy(), h.to_numpy(), hot.to_numpy(zero_copy_only=False))
+                if not len(pair):
+                    continue
+                order = np.lexsort((pair, doc))
+                pair, doc, a0, a1, lead = pair[order], doc[order], a0[order], a1[order], lead[order]
                 low, high = keys[doc], keys[doc]
                 bounds = np.searchsorted(doc, np.arange(b.num_rows + 1))
+                # A pair of seeds that comes again in its document counts once.
+                fresh = np.append(True, (pair[1:] != pair[:-1]) | (doc[1:] != doc[:-1]))
+                new, nth = np.flatnonzero(fresh), np.cumsum(fresh) - 1
+                more = []
                 for d, found in enumerate(shown):
                     part = slice(bounds[d], bounds[d + 1])
                     for x in found or []:
                         inside = (a0[part] >= x["start"]) & (a1[part] + SHINGLE <= x["stop"])
                         low[part][inside] = np.minimum(low[part][inside], x["other"])
                         high[part][inside] = np.maximum(high[part][inside], x["other"])
-                if not len(pair):
-                    continue
-                # A pair of seeds that comes again in its document counts once.
-                order = np.lexsort((pair, doc))
-                pair, doc, low, high, lead, width = pair[order], doc[order], low[order], high[order], lead[order], (a1 - a0)[order].astype(np.int32)
-                new = np.flatnonzero(np.append(True, (pair[1:] != pair[:-1]) | (doc[1:] != doc[:-1])))
-                cols = [pair[new], keys[doc[new]], np.minimum.reduceat(low, new), np.maximum.reduceat(high, new), np.logical_or.reduceat(lead, new), np.minimum.reduceat(width, new), np.maximum.reduceat(width, new)]
+                        if full:
+                            which = np.unique(nth[part][inside])
+                            more.append((which, np.full(len(which), x["other"], np.int64)))
+                low, high = np.minimum.reduceat(low, new), np.maximum.reduceat(high, new)
+                take = np.arange(len(new))
+                if more:  # all that show its words, the smallest and the largest in the first row
+                    which, other = (np.concatenate(x) for x in zip(*more, strict=True))
+                    inner = (other != low[which]) & (other != high[which])
+                    which, other = np.unique(np.stack([which[inner], other[inner]]), axis=1)
+                    take, low, high = np.append(take, which), np.append(low, other), np.append(high, other)
+                width = (a1 - a0).astype(np.int32)
+                cols = [pair[new][take], keys[doc[new]][take], low, high, np.logical_or.reduceat(lead, new)[take], np.minimum.reduceat(width, new)[take], np.maximum.reduceat(width, new)[take]]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["pair", "key", "low", "high", "lead", "near", "far"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(found: list[tuple]) -> pa.RecordBatch:
-            both = np.unique(np.stack([np.concatenate(x) for x in zip(*found, strict=True)], 1), axis=0)
-            return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["key", "other"])
-
-        left, found, size = None, [], 0
+        def out(found: list[tuple], groups: list[tuple]) -> Iterator[pa.RecordBatch]:
+            names = ["pair", "key", "other"]
+            if found:
+                both = np.unique(np.stack([np.concatenate(x) for x in zip(*found, strict=True)], 1), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(both), pa.int64()), pa.array(both[:, 0]), pa.array(both[:, 1])], names=names)
+            if groups and not every:
+                pair, key = (np.concatenate(x) for x in zip(*groups, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(pair), pa.array(key), pa.nulls(len(key), pa.int64())], names=names)
+
+        left, found, groups, size = None, [], [], 0
         for b in (*batches, None):
             cols = [c.to_numpy(zero_copy_only=False) for c in b.columns] if b is not None else None
             if cols is not None:
@@ -666,15 +722,22 @@ def _apart(sown: DataFrame, linked: DataFrame, every: bool) -> DataFrame:
             some = np.logical_or.reduceat(lead[: edges[-1]], edges[:-1])
             for k in np.flatnonzero(some & ~(one[0] | one[1])).tolist():
                 s, e = edges[k], edges[k + 1]
-                for x in across(*(c[s:e] for c in cols[1:]), every):
+                apart = False
+                for x in across(*(c[s:e] for c in cols[1:]), every, turn):
+                    apart = True
                     found.append(x)
                     size += len(x[0])
                     if size > 200_000:
-                        yield out(found)
-                        found, size = [], 0
-        if found:
-            yield out(found)
+                        yield from out(found, groups)
+                        found, groups, size = [], [], 0
+                if apart and not every:
+                    key = np.unique(cols[1][s:e])
+                    groups.append((np.full(len(key), pair[s]), key))
+                    size += len(key)
+        yield from out(found, groups)
 
     nodes = marks.join(spans, "key", "left").select("key", "marks", "spans").mapInArrow(pairs, "pair long, key long, low long, high long, lead boolean, near int, far int")
+    if full:
+        nodes = nodes.join(asked, ["pair", "key"], "left_semi")
     dealt = nodes.repartition(shuffle_partitions(sown.sparkSession), "pair").sortWithinPartitions("pair")
-    return dealt.mapInArrow(meet, "key long, other long").distinct()
+    return dealt.mapInArrow(meet, "pair long, key long, other long")

@@ -851,3 +851,26 @@ def test_across_gives_all_pairs_of_different_classes():
         classes = {frozenset(x) for x in label.values()}
         one = [x for s in substring.across(key, low, high, lead, near, near, False) for x in zip(*(y.tolist() for y in s), strict=True)]
         assert len(one) < len(classes) and all(b not in label[a] for a, b in one)
+
+
+def test_texts_too_short_for_a_passage_are_not_paired(spark, monkeypatch):
+    """A line of thirty words in many texts of forty: none can have a passage, so none is chained;
+    longer texts that quote it in an edited passage are still found."""
+    p = words(2100, 100).split()
+    texts = {n: " ".join(p[20:50]) + " " + words(2200 + n, 10) for n in range(60)}
+    for k, at in enumerate((7, 22)):
+        side = [f"e{i}" if i % 30 == at else w for i, w in enumerate(p)]
+        texts[100 + k] = " ".join([words(2400 + k, 30), *side, words(2500 + k, 30)])
+    tried = []
+    cut = substring.cut
+
+    def counted(df):
+        out = cut(df)
+        if out.columns == ["key", "other"]:
+            tried.append(out.count())
+        return out
+
+    monkeypatch.setattr(substring, "cut", counted)
+    got = substring.passages(spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)).collect()
+    assert {frozenset((x.doc_id, x.other_doc_id)) for x in got} == {frozenset((100, 101))}
+    assert sum(tried) <= len(texts)
