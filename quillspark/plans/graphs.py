@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quillspark.operators import graph
 from quillspark.plans.registry import query
-from quillspark.shared import cut, table
+from quillspark.shared import cut, table, written
 
 _E = """er AS (SELECT c_name AS name, c_mktsegment AS type, CASE WHEN c_custkey % 2 = 0 THEN '' ELSE 'customer of ' || c_nationkey END AS description, c_custkey AS seq FROM customer
 UNION ALL SELECT ' ' || upper(c_name) || ' ', 'renamed', '', c_custkey + 1000000 FROM customer WHERE c_custkey % 3 = 0
@@ -117,8 +117,8 @@ def _start(spark, sf_dir):
 
 
 def _bfs(spark, sf_dir, hops, limit):
-    r = cut(_relations(spark, sf_dir, _entities(spark, sf_dir)))
-    return graph.bounded_bfs(_start(spark, sf_dir), r, cut(_mentions(spark, sf_dir)), hops, limit)
+    r = written(_relations(spark, sf_dir, _entities(spark, sf_dir)))
+    return graph.bounded_bfs(_start(spark, sf_dir), r, written(_mentions(spark, sf_dir)), hops, limit)
 
 
 @query(f"WITH {_bfs_sql(1, 200)} SELECT question_id, chunk_id, hops, array_to_string(entities, ',') AS entities, matched FROM d1")

@@ -138,6 +138,76 @@ def test_bfs_levels_and_limits(spark):
     assert got(1, 2) == [("A", 0)]  # the chunk already found uses up what is left
 
 
+
+def _hubs(spark):
+    """Three hubs of 260 leaves each, leaves with up to two hubs, hubs linked; the mentions of all."""
+    import random
+
+    g = random.Random(7)
+    rel = {(f"leaf{i:04}", f"hub{i % 3}"): g.choice([None, 0.1, 0.5, 0.9]) for i in range(780)}
+    rel |= {(f"leaf{i:04}", f"hub{(i + 1) % 3}"): g.choice([None, 0.3, 0.9]) for i in range(0, 780, 13)}
+    rel |= {("hub0", "hub1"): 0.4, ("hub2", "hub2"): 0.2, ("leaf0001", "leaf0002"): 0.7}
+    keys = sorted({k for r in rel for k in r})
+    men = {(k, f"c{g.randrange(900)}") for k in keys for _ in range(g.randrange(4))} | {(f"hub{i}", f"h{j}") for i in range(3) for j in range(4)}
+    rows = spark.createDataFrame([(h, "p", t, "x", c) for (h, t), c in rel.items()], "head_key string, predicate string, tail_key string, chunk_id string, confidence double")
+    return rel, men, rows, spark.createDataFrame(sorted(men), "key string, chunk_id string")
+
+
+def _plain_bfs(keys, rel, men, hops, limit):
+    """The search of one question, one key after the other."""
+    near, told = {}, {}
+    for (h, t), c in rel.items():
+        for a, b in ((h, t), (t, h)):
+            near.setdefault(a, []).append((b, c or 0.0))
+    for k, c in men:
+        told.setdefault(k, set()).add(c)
+    front, seen, found = set(keys), set(keys), {}
+    for depth in range(hops + 1):
+        hits = {}
+        for k in front:
+            for c in told.get(k, ()):
+                hits.setdefault(c, set()).add(k)
+        for c in sorted(hits, key=lambda c: (-len(hits[c]), c))[: max(limit - len(found), 0)]:
+            found.setdefault(c, (c, depth, len(hits[c]), tuple(sorted(hits[c]))))
+        best = {}
+        for k in front:
+            for b, c in near.get(k, ()):
+                if b not in seen:
+                    best[b] = max(best.get(b, 0.0), c)
+        front = set(sorted(best, key=lambda b: (-best[b], b))[: max(20 * limit, 200)])
+        seen |= front
+    return sorted(found.values())
+
+
+def test_bfs_of_many_questions_equals_the_plain_search(spark):
+    """Shared hubs, frontiers cut by the cap, starting keys within them, hubs to start from, equal questions."""
+    rel, men, rows, mentions = _hubs(spark)
+    asked = {i: [f"leaf{i * 19:04}"] for i in range(20)} | {20: ["hub1"], 21: ["leaf0000", "leaf0003"], 22: ["leaf0000"], 23: ["leaf0001", "hub0", "none"], 24: ["hub1"]}
+    start = spark.createDataFrame([(q, k) for q, ks in asked.items() for k in ks], "question_id int, key string")
+    for limit in (6, 60):
+        got = {}
+        for r in graph.bounded_bfs(start, rows, mentions, 3, limit).collect():
+            got.setdefault(r.question_id, []).append((r.chunk_id, r.hops, r.matched, tuple(r.entities)))
+        assert {q: sorted(x) for q, x in got.items()} == {q: x for q, ks in asked.items() if (x := _plain_bfs(ks, rel, men, 3, limit))}
+
+
+def test_bfs_keeps_no_frontier_for_each_question(spark, monkeypatch):
+    """Questions around one hub share its frontier: nothing of questions times neighbours is written."""
+    rel = spark.createDataFrame([(f"leaf{i:03}", "p", "hub", "x", 0.5) for i in range(150)], "head_key string, predicate string, tail_key string, chunk_id string, confidence double")
+    men = spark.createDataFrame([(f"leaf{i:03}", f"c{i:03}") for i in range(150)], "key string, chunk_id string")
+    start = spark.createDataFrame([(i, f"leaf{i:03}") for i in range(150)], "question_id int, key string")
+    seen = []
+
+    def counted(df):
+        df = df.localCheckpoint()
+        seen.append(df.count())
+        return df
+
+    for name in ("cut", "written"):
+        monkeypatch.setattr(graph, name, counted, raising=False)
+    assert graph.bounded_bfs(start, rel, men, 2, 3).count() == 3 * 150 and max(seen) <= 3 * 150
+
+
 def test_bootstrap_is_seeded(spark):
     p = spark.createDataFrame([(i, float(i % 3 - 1)) for i in range(30)], "sample_id int, gain double")
     a, b = evaluation.bootstrap(p).first(), evaluation.bootstrap(p.repartition(5)).first()
