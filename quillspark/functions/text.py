@@ -43,10 +43,18 @@ def search_text(content: Column, *headers: Column) -> Column:
     return F.regexp_replace(F.concat(plain, F.lit("\n"), F.array_join(grams, " ")), r"^\s+|\s+$", "")
 
 
-def embedding_text(content: Column, fields: dict[str, Column]) -> Column:
-    """``name=value`` of the fields that aren't empty, a newline and the content, trimmed."""
-    parts = [F.when(v.isNotNull() & (v.cast("string") != ""), F.concat(F.lit(f"{k}="), v.cast("string"))) for k, v in fields.items()]
-    return F.regexp_replace(F.concat(F.concat_ws(" ", *parts), F.lit("\n"), content), r"^\s+|\s+$", "")
+def embedding_text(content: Column, fields: dict[str, Column], raw: bool = False) -> Column:
+    """``name=value`` of the fields that aren't empty, a newline and the content, trimmed. With
+    ``raw`` only null fields are left out and nothing is trimmed."""
+    told = lambda v: v.isNotNull() if raw else v.isNotNull() & (v.cast("string") != "")
+    parts = [F.when(told(v), F.concat(F.lit(f"{k}="), v.cast("string"))) for k, v in fields.items()]
+    text = F.concat(F.concat_ws(" ", *parts), F.lit("\n"), content)
+    return text if raw else F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
+def rtrim_spaces(c: Column) -> Column:
+    """Without the spaces at its end, of all kinds that Unicode has (not tabs or newlines)."""
+    return F.rtrim(c, F.lit("\u0020\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"))
 
 
 def entity_key(name: Column) -> Column:

@@ -139,6 +139,23 @@ def test_bfs_levels_and_limits(spark):
 
 
 
+def test_embedding_text_equals_sql_on_odd_texts(spark, tmp_path):
+    """White space at the end, empty texts and fields, nulls."""
+    import duckdb
+    from compare import differences
+
+    from quillspark.plans import chunked
+    from quillspark.plans.registry import SQL
+
+    texts = ["a", "", " ", "a\n", "a \n", "a\n ", "a\t", "a\r\n", "\n", " a", "a\u00a0", "a\u3000 ", "a\u200b", "a\x1c", "a\u2028", "b\nc\n\n", None]
+    odd = [(t, "en", "web") for t in texts] + [("a", "", "web"), ("a", None, "web"), ("a", "de", ""), ("a", "de", None), ("a", "en", " \n"), ("", "de", "")]
+    df = spark.createDataFrame([(i, *x) for i, x in enumerate(odd)], "doc_id long, text string, lang string, source string")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    assert differences(chunked.embedding_text(spark, str(tmp_path)), con, SQL["embedding_text"]) == []
+
+
 def _hubs(spark):
     """Three hubs of 260 leaves each, leaves with up to two hubs, hubs linked; the mentions of all."""
     import random
