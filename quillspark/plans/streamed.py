@@ -15,15 +15,15 @@ from quillspark.streaming import changes
 def stream_debounce(spark, sf_dir):
     """Keyed state over a file stream; the result is what an exactly-once sink holds at the end."""
     at = f"{checkpoint_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
-    events = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    # Files arrive in the order of their events, a quarter of the time at once.
+    events = table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id")
+    # Files arrive in the order of their events, a quarter of the time at once: however many files
+    # a quarter has, the stream takes them as one batch, as their events aren't in order among them.
     first, last = events.agg(F.min("ts"), F.max("ts")).first()
     quarter = F.least(F.lit(3), F.floor(4 * (F.col("ts").cast("double") - F.lit(first).cast("double")) / F.greatest(F.lit(1.0), F.lit(last).cast("double") - F.lit(first).cast("double"))))
     for i in range(4):
         events.where(quarter == i).write.mode("append").parquet(f"{at}/in")
-    stream = changes.debounced(changes.read_events(spark, f"{at}/in"), "user_id", 86400.0)
-    stream.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema("user_id bigint, event_id bigint").parquet(f"{at}/out")
+        changes.debounce_into(changes.read_events(spark, f"{at}/in", files=None), f"{at}/out", f"{at}/state", "user_id", 86400.0).awaitTermination()
+    return changes.passed_on(spark, f"{at}/out")
 
 
 @query("SELECT date_trunc('day', ts) AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")

@@ -299,6 +299,21 @@ def test_stream_equals_batch(spark):
     assert sorted(r.event_id for r in streamed.stream_debounce(spark, sf).collect()) == sorted(r.event_id for r in batch.collect())
 
 
+def test_stream_equals_batch_when_a_quarter_has_many_files(spark, tmp_path):
+    """Files of one quarter hold mixed times; the number of batches doesn't grow with them."""
+    from quillspark.plans import streamed
+
+    e = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    e.repartition(5).write.parquet(f"{tmp_path}/events.parquet")
+    old = spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.openCostInBytes", spark.conf.get("spark.sql.files.maxPartitionBytes"))  # a task for each file
+    try:
+        got = sorted(r.event_id for r in streamed.stream_debounce(spark, str(tmp_path)).collect())
+    finally:
+        spark.conf.set("spark.sql.files.openCostInBytes", old)
+    assert got == sorted(r.event_id for r in cdc.debounce(e, "user_id", "ts", "event_id", 86400.0).collect())
+
+
 def test_stream_applies_events_once(spark, tmp_path):
     from quillspark.streaming import changes
 
